@@ -1,8 +1,56 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: score, deduplicate, redact and pack documents, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame that is written
+before the next one reads it. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import common, exact_dedup, near_dedup, packing, quality, queries, secret_scan
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranker predicts to be good."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, keep=True)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.keep_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.keep_first(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secret_scan.redact(docs, path=queries.source_path())
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("secret scans", secrets),
+    ("best-fit packing", pack),
+]
+#: The classifier, the forest and the tokenizer can't be said in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

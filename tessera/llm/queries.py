@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import license_scan, piece_codec, secret_scan
 from .ann import nearest
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -26,10 +27,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(C.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def source_path() -> Column:
+    """documents has no paths: its source is taken as the folder, the id as the file's name."""
+    return F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its score; the finding itself is given as a digest."""
+    found = secret_scan.scan(C.documents(spark, sf_dir), path=source_path())
+    return found.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.sha2("candidate", 256).alias("finding_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(C.documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir).select(source_path().alias("path"), "text")
+    found = license_scan.scan(docs)
+    return found.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("long").alias("doc_id"), "license", "cosine", "origin", "license_path")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(C.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(C.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
