@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.tables import Tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULES = ("scans", "scalars", "joins", "sets", "aggregates", "windows", "ordering", "subqueries", "vector_queries", "changes", "flagship", "streams")
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name, with the SQL that gives the same rows."""
+
+    def wrap(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"tessera.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLE)
