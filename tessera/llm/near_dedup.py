@@ -9,9 +9,11 @@ termination).
 
 Candidates share a band of registers. Documents with equal shingles and weights are one class from the start. In
 every bucket, each class meets the bucket's hub (the member whose hash with the band is least); J is computed from
-the texts, and pairs of at least ``least`` are links. Connected classes are one group. Where a bucket then still
-holds members of several groups, every member outside the bucket's largest group meets every member of the others in
-the bucket, so no link between candidates is lost, and none is tried within a group. No bucket is capped.
+the texts, and pairs of at least ``least`` are links. Connected classes are one group. A bucket that then still
+holds members of several groups is judged in cells of bounded size: an inverted index of the cell's shingles bounds J
+of every two members of different groups, J is computed where the bound allows a link, and one link for each member
+and group leaves the cell. So no link between candidates is lost, no pair is tried within a group, and no list of
+pairs is made. No bucket is capped; a larger one has more cells.
 
 Defined results. Words are [^\\x20\\x09-\\x0D]+; a text of one to four words is one shingle; a text without words (null,
 empty, blank) is a group by itself. One row per input row; the group's name is its smallest doc_id (nulls last).
@@ -33,6 +35,8 @@ from . import rolling as R
 SHINGLE, LEAST = 5, 0.8
 BANDS, BAND = 20, 5
 BROADCAST_KEYS = 250_000
+#: Members of a mixed bucket on either side of a cell.
+CELL = 512
 
 
 def shingles(row: np.ndarray, h: np.ndarray, rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,21 +152,85 @@ def _verify(least: float, size: int):
     return run
 
 
+def _texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row (key, text) for each of the keys. Keys are hashes of id and text: rows of one key are one document."""
+    keys = C.written(keys.distinct(), "near-keys")
+    if C.few(keys, BROADCAST_KEYS):  # checked: so many keys of 8 bytes at most
+        keys = F.broadcast(keys)
+    return C.written(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), "near-texts")
+
+
 def links(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
     """Pairs (a, b) of keys whose texts reach the similarity."""
     pairs = C.written(pairs.distinct(), "near-pairs")
-    ends = C.written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "near-ends")
-    if C.few(ends, BROADCAST_KEYS):  # checked: so many keys of 8 bytes at most
-        some = texts.join(F.broadcast(ends), "key", "left_semi")
-    else:
-        some = texts.join(ends, "key", "left_semi")
-    # keys are hashes of id and text: rows of one key are the same document
-    some = C.written(some.select("key", "text").dropDuplicates(["key"]), "near-texts")
+    some = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), texts)
     a = pairs.join(some.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
     both = a.join(some.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     return C.written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least, size), "a long, b long"), "near-links")
 
 
+class _Parts:
+    """Union-find over the groups of one cell."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cell(least: float, size: int):
+    def run(t: pa.Table) -> pa.Table:
+        # the rows of one block on both sides, or of two blocks
+        t = t.sort_by("key")
+        keys, roots, side = (t.column(c).to_numpy() for c in ("key", "root", "side"))
+        sets = [_weights(x.as_py() or b"", size) for x in t.column("text").cast(pa.large_binary())]
+        share = [w / w.sum() for _, w in sets]
+        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+        order = np.argsort(every := np.concatenate([h for h, _ in sets]), kind="stable")
+        every, owner, part = every[order], owner[order], np.concatenate(share)[order]
+        names, counts = np.unique(roots, return_counts=True)
+        largest, parts, out = names[counts.argmax()], _Parts(), []
+        two = len(np.unique(side)) > 1
+        for x in np.flatnonzero(roots != largest):
+            lo, hi = np.searchsorted(every, sets[x][0], "left"), np.searchsorted(every, sets[x][0], "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            # J is at most the common elements' share in either document
+            mine = np.bincount(owner[at], np.repeat(share[x], n), len(sets))
+            theirs = np.bincount(owner[at], part[at], len(sets))
+            near = np.minimum(mine, theirs) >= least - 1e-9
+            near &= (roots != roots[x]) & ((side != side[x]) if two else True)
+            for y in np.flatnonzero(near):
+                if parts.top(roots[x]) != parts.top(roots[y]) and jaccard(sets[x], sets[y]) >= least:
+                    parts.join(roots[x], roots[y])
+                    out.append((keys[x], keys[y]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def mixed_links(members: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+    """Links between different groups (root) within the buckets of members (band, bucket, key, root, c)."""
+    some = _texts_of(members.select("key"), texts)
+    blocks = F.ceil(F.col("c") / CELL).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # a row meets each block of its bucket in one cell
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", "bucket", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), "key", "root", F.col("i").alias("side"))
+    cells = placed.join(some, "key").groupBy("band", "bucket", "u", "v")
+    return C.written(cells.applyInArrow(_cell(least, size), "a long, b long").distinct(), "near-links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """key, root: the smallest key of each connected part, by neighbours' minima and pointer jumping."""
     both = C.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
@@ -187,26 +255,21 @@ def near_groups(docs: DataFrame, least: float = LEAST, size: int = SHINGLE, band
     members = full.join(same.where("c > 1").select("s1", "s2", F.col("one.key").alias("rep")), ["s1", "s2"]).select("key", "rep")
     placed = same.select(F.col("one.key").alias("key"), F.posexplode("one.buckets").alias("band", "bucket"))
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key")).alias("hub")).where("c > 1")
+    shared = C.written(shared, "near-shared")  # written, so that a hot bucket's join can be split
     inside = C.written(placed.join(shared.select("band", "bucket", F.col("hub.key").alias("hub")), ["band", "bucket"]), "buckets")
     pairs = inside.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     found = links(pairs, rows.select("key", "text"), least, size)
     group = components(found)
     # buckets that still hold several groups
     now = inside.select("band", "bucket", "key").join(group, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sizes = now.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("c", "root")).alias("top")).where("groups > 1")
-    now = C.written(now.join(mixed.select("band", "bucket", F.col("top.root").alias("top")), ["band", "bucket"]), "mixed")
-    outside = now.where("root != top").select("band", "bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
-    others = now.select("band", "bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-    more = outside.join(others, ["band", "bucket"]).where("ra != rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.distinct().join(tried.distinct(), ["a", "b"], "left_anti")
-    later = links(more, rows.select("key", "text"), least, size)
+    mixed = now.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    now = C.written(now.join(mixed.select("band", "bucket", "c"), ["band", "bucket"]), "mixed")
+    later = mixed_links(now, rows.select("key", "text"), least, size)
     edges = found.unionByName(later).unionByName(members.where("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b")))
     group = components(edges)
     ids = C.written(rows.select("doc_id", "key").join(group, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "roots")
     # a key without words is its row's own group, also where rows repeat
-    names = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    names = C.written(ids.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-names")
     return ids.join(names, "root").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
