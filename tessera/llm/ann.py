@@ -1,11 +1,11 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is scaled to unit length, turned by one random rotation and reduced to the signs of its coordinates.
-The index keeps the packed signs, the length, the correction scalar c = <signs / sqrt(D), turned vector> and the
-vector itself, in blocks. For a query q the inner product is estimated as |o| <signs / sqrt(D), Rq> / c, and it lies
-within |o| |q| sqrt(1 - c^2) / c * ``deviations`` / sqrt(D - 1) of that, except with the chance of a normal value
-beyond so many deviations. Vectors whose upper bound reaches the best k exact scores seen so far are reranked in
-double precision.
+Every vector is scaled to unit length, padded with zeros to B >= 256 coordinates, turned by one random rotation and
+reduced to the signs of its coordinates. The index keeps the packed signs, the length, the correction scalar
+c = <signs / sqrt(B), turned vector> and the vector itself, in blocks. For a query q the inner product is estimated as
+|o| <signs / sqrt(B), Rq> / c, and it lies within |o| |q| sqrt(1 - c^2) / c * ``deviations`` / sqrt(B - 1) of that,
+except with the chance of a normal value beyond so many deviations. Vectors whose upper bound reaches the best k
+exact scores seen so far are reranked in double precision.
 
 Queries meet candidates in a grid of bounded cells (an equi-join on the cell), and only k rows per query and cell
 leave a cell. Nothing is broadcast.
@@ -28,15 +28,19 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rows of a stored block, and rows of a cell on either side.
-BLOCK, CELL_ROWS, CELL_QUERIES = 2048, 32768, 4096
+#: Least bits of a code, and normal deviations of the error bound.
+BITS, DEVIATIONS = 256, 3.0
+#: Numbers in the vectors of a stored block, and of a cell on either side: the rows of each follow from the dimension.
+BLOCK, CELL_ROWS, CELL_QUERIES = 1 << 17, 1 << 21, 1 << 18
 BLOCKS = "part long, n int, ids binary, codes binary, norms binary, corrections binary, vectors binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The first ``dim`` columns of a random rotation of B coordinates: at least BITS, in whole words of 64."""
+    bits = -(-max(dim, BITS) // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r)))[:, :dim])
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,11 +50,11 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.packbits(turned >= 0, axis=1), norms, np.abs(turned).sum(axis=1) / math.sqrt(len(turn))
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products, summed in the order of the components."""
-    out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
+def exact(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of columns i of a and j of b, summed in the order of the components."""
+    out = np.zeros(len(i))
+    for x, y in zip(a, b, strict=True):
+        out += x[i] * y[j]
     return out
 
 
@@ -86,7 +90,7 @@ def _pack(dim: int, seed: int, block: int):
 def _unpack(t: pa.Table, dim: int) -> tuple[np.ndarray, ...]:
     kinds = {"ids": np.int64, "codes": np.uint8, "norms": np.float64, "corrections": np.float64, "vectors": np.float64}
     ids, codes, norms, corr, vectors = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)]) for c, kind in kinds.items())
-    return ids, codes.reshape(-1, (dim + 7) // 8), norms, corr, vectors.reshape(-1, dim)
+    return ids, codes.reshape(len(ids), -1), norms, corr, vectors.reshape(-1, dim)
 
 
 def _search(dim: int, seed: int, k: int, deviations: float, step: int = 512):
@@ -104,27 +108,37 @@ def _search(dim: int, seed: int, k: int, deviations: float, step: int = 512):
             turn = rotation(dim, seed)
             ids, codes, norms, corr, vectors = _unpack(rows, dim)
             q_ids, _, q_norms, _, q_vectors = _unpack(asked, dim)
-            turned = (q_vectors @ turn.T).astype(np.float32)
-            error = deviations * np.sqrt(np.maximum(0, 1 - corr**2)) / corr / math.sqrt(max(dim - 1, 1)) * norms + 1e-5 * norms
+            bits, turned = len(turn), (q_vectors @ turn.T).astype(np.float32)
+            error = (deviations * np.sqrt(np.maximum(0, 1 - corr**2)) / corr / math.sqrt(bits - 1) * norms + 1e-5 * norms).astype(np.float32)
+            scale = (norms / corr / math.sqrt(bits)).astype(np.float32)
             for i in range(0, len(q_ids), step):
                 s = slice(i, i + step)
+                asked_t, size = np.ascontiguousarray(q_vectors[s].T), q_norms[s, None].astype(np.float32)
                 found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
                 reach = np.full(len(q_ids[s]), -np.inf)
                 for j in range(0, len(ids), 8192):
                     c = slice(j, j + 8192)
-                    signs = np.unpackbits(codes[c], axis=1, count=dim).astype(np.float32) * 2 - 1
+                    rows_t = np.ascontiguousarray(vectors[c].T)
+                    signs = np.unpackbits(codes[c], axis=1, count=bits).astype(np.float32) * 2 - 1
                     # estimate for each query and candidate from the packed signs and the correction scalar
-                    estimate = (turned[s] @ signs.T) * (norms[c] / corr[c] / math.sqrt(dim)).astype(np.float32)
-                    bound = estimate + (q_norms[s, None] * error[None, c]).astype(np.float32)
-                    own = q_ids[s, None] == ids[None, c]
-                    bound[own] = estimate[own] = -np.inf
-                    if len(ids[c]) > k:  # exact scores of the best estimates set the bar first
+                    estimate = (turned[s] @ signs.T) * scale[c]
+                    both = np.flatnonzero(np.isin(ids[c], q_ids[s]))
+                    qi, ci = np.nonzero(q_ids[s, None] == ids[None, c][:, both])
+                    estimate[qi, both[ci]] = -np.inf  # a query's own rows
+                    if len(ids[c]) > k and np.isneginf(reach).any():  # exact scores of the best estimates set the bar first
                         top = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
-                        scores = exact(q_vectors[s].repeat(k, axis=0), vectors[c][top.ravel()]).reshape(-1, k)
+                        scores = exact(asked_t, np.arange(len(top)).repeat(k), rows_t, top.ravel()).reshape(-1, k)
                         scores[np.isneginf(np.take_along_axis(estimate, top, 1))] = -np.inf
                         reach = np.maximum(reach, scores.min(axis=1))
-                    qi, ci = np.nonzero((bound >= reach[:, None]) & ~own)
-                    score = np.concatenate([exact(q_vectors[s][qi[x : x + 65536]], vectors[c][ci[x : x + 65536]]) for x in range(0, len(qi), 65536)] or [np.zeros(0)])
+                    own = np.isneginf(estimate) if len(both) else None
+                    estimate += size * error[None, c]
+                    near = estimate >= reach[:, None].astype(np.float32) - np.float32(1e-6)
+                    if own is not None:
+                        near &= ~own
+                    qi, ci = np.nonzero(near)
+                    score = np.concatenate([exact(asked_t, qi[x : x + 65536], rows_t, ci[x : x + 65536]) for x in range(0, len(qi), 65536)] or [np.zeros(0)])
+                    good = score >= reach[qi]
+                    qi, ci, score = qi[good], ci[good], score[good]
                     found = [np.concatenate(x) for x in zip(found, (qi, ids[c][ci], score), strict=True)]
                     found = [x[keep] for keep in [best(*found, k)] for x in found]
                     full = np.bincount(found[0], minlength=len(reach)) >= k
@@ -143,10 +157,10 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return whole.where("id is not null and size(vector) > 0 and not exists(vector, x -> x is null)")
 
 
-def build_index(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, block: int = BLOCK) -> DataFrame:
+def build_index(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, block: int | None = None) -> DataFrame:
     """The index: one row per block of vectors, written in the shared folder."""
     rows = _usable(vectors, id_col, vec_col).where(F.size("vector") == dim)
-    return C.written(rows.mapInArrow(_pack(dim, seed, block), BLOCKS), "one-bit-index")
+    return C.written(rows.mapInArrow(_pack(dim, seed, block or max(1, BLOCK // dim)), BLOCKS), "one-bit-index")
 
 
 def common_dim(vectors: DataFrame, id_col: str, vec_col: str) -> int:
@@ -154,7 +168,7 @@ def common_dim(vectors: DataFrame, id_col: str, vec_col: str) -> int:
     return top.d if top else 0
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, deviations: float = 4.0, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, deviations: float = DEVIATIONS, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by inner product of every row where ``queries`` holds."""
     spark = vectors.sparkSession
     dim = dim or common_dim(vectors, id_col, vec_col)
@@ -163,13 +177,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, deviations: float
         return empty
     asked = vectors.where(queries).groupBy(F.col(id_col).alias("_id")).agg(F.min(vec_col).alias("_vector"))
     index = build_index(vectors, dim, id_col, vec_col, seed)
-    asked = build_index(asked, dim, "_id", "_vector", seed, CELL_QUERIES // 16)
+    asked = build_index(asked, dim, "_id", "_vector", seed, max(1, CELL_QUERIES // dim // 16))
     n, q = (x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (index, asked))
     if not n or not q:
         return empty
-    across, down = math.ceil(n / min(CELL_ROWS, max(BLOCK, n // 8))), math.ceil(q / min(CELL_QUERIES, max(256, q // 4)))
+    rows, probes = max(1, CELL_ROWS // dim), max(1, CELL_QUERIES // dim)
+    across, down = math.ceil(n / min(rows, max(rows // 16, n // 8))), math.ceil(q / min(probes, max(probes // 16, q // 4)))
     cells = index.withColumn("g", F.pmod("part", F.lit(across))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    probes = asked.withColumn("h", F.pmod("part", F.lit(down)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
-    found = cells.groupBy("g", "h").cogroup(probes.groupBy("g", "h")).applyInArrow(_search(dim, seed, k, deviations), FOUND)
+    queries_in = asked.withColumn("h", F.pmod("part", F.lit(down)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    found = cells.groupBy("g", "h").cogroup(queries_in.groupBy("g", "h")).applyInArrow(_search(dim, seed, k, deviations), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
