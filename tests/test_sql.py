@@ -78,6 +78,7 @@ def test_order_nulls_distinct_on_views_sequences(s):
     s.execute("USE main")
     assert got(s.execute("SELECT column_name FROM information_schema.columns WHERE table_name = 'n' ORDER BY ordinal_position")) == [("id",), ("val",)]
     assert "Scan" in str(got(s.execute("EXPLAIN SELECT * FROM n WHERE val > 3")))
+    assert got(s.execute("SELECT id FROM n WHERE val = $2 AND id < $1 ORDER BY id", [4, 10])) == [(2,)]
     with pytest.raises(Exception, match="nowhere"):
         s.execute("SELECT * FROM nowhere").collect()
 
