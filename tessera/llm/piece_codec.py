@@ -19,6 +19,7 @@ Defined results. Null text counts as empty and has no pieces. One row per input
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .units import UnitEncoder, text_blocks
+from .units import UnitEncoder, slices, text_blocks
 
 SPACE = "▁"
 #: Characters from which a document is giant, and of a chunk.
 GIANT, CHUNK = 50_000, 8_192
 UNKNOWN = -1
+#: Cached units and known pairs of a worker; beyond them a cache starts anew.
+MOST_UNITS, MOST_PAIRS = 400_000, 500_000
 
 
 def cut_units(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ class PieceCodec:
         self.bytes = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.piece = {i: p for p, i in self.ids.items()}
         self._stable: dict[tuple[int, int], bool] = {}
-        self.units = UnitEncoder(cut_units, self._encode_units)
+        self.units = UnitEncoder(cut_units, self._encode_units, MOST_UNITS)
 
     # --- whole documents -------------------------------------------------------------------------------------
 
@@ -114,6 +117,8 @@ class PieceCodec:
             return True
         known = self._stable.get((a, b))
         if known is None:
+            if len(self._stable) > MOST_PAIRS:
+                self._stable.clear()
             p, q = self.piece[a], self.piece[b]
             known = self._stable[a, b] = self.merge(p + q) == [p, q]
         return known
@@ -182,21 +187,25 @@ class PieceCodec:
         goal = self.states(text, z)[last]
         if goal[0] < a:
             return []
-        back: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-        ends = {s0[1]: [s0]}
+        # a state here is (id, start, the state before it): paths share their beginnings
+        ends: dict[int, list[tuple]] = {s0[1]: [(s0[2], s0[0], None)]}
+        end: tuple | None = None
         for s in range(a, z):
-            for e, i in self.at(text, s) if s in ends else ():
-                for old in ends[s]:
-                    if self.stable(old[2], i):
-                        back[s, e, i] = old
-                        ends.setdefault(e, []).append((s, e, i))
+            before = ends.pop(s, None)
+            for e, i in self.at(text, s) if before else ():
+                for old in before:
+                    if self.stable(old[0], i):
+                        if (s, e, i) == goal:
+                            end = (i, s, old)
+                        elif e < z:
+                            ends.setdefault(e, []).append((i, s, old))
                         break
-        path, state = [], goal
-        while state != s0:
-            path.append((state, text[state[0] : state[1]]))
-            state = back[state]
+        path, at = [], goal[1]
+        while end[2] is not None:
+            path.append((end[0], text[end[1] : at]))
+            at, end = end[1], end[2]
         out: list[int] = []
-        for (_, _, i), p in reversed(path):
+        for i, p in reversed(path):
             out += [i] if i != UNKNOWN else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
@@ -212,6 +221,12 @@ class PieceCodec:
         return np.concatenate([*[np.asarray(x, np.int32) for x in out], ids[at:]])
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> PieceCodec:
+    """One codec for all tasks of a worker."""
+    return PieceCodec(path)
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product: the associative step of the scan."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -247,7 +262,7 @@ def _chunks(size: int, around: int):
 
 def _transfers(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = codec_of(model)
         for b in batches:
             found = [codec.transfer(t, a, z) for t, a, z in zip(*(b.column(c).to_pylist() for c in ("text", "a", "z")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array([len(m) for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], ["key", "k", "rows", "matrix"])
@@ -269,7 +284,7 @@ def _states(t: pa.Table) -> pa.Table:
 
 def _traces(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = codec_of(model)
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("text", "a", "z", "first", "last")), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array([codec.trace(*r) for r in rows], pa.list_(pa.int32()))], ["key", "k", "ids"])
@@ -279,7 +294,7 @@ def _traces(model: str):
 
 def _gather(model: str):
     def run(t: pa.Table) -> pa.Table:
-        codec = PieceCodec(model)
+        codec = codec_of(model)
         t = t.sort_by("k")
         ids = codec.join_runs(t.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32))
         return pa.table({"key": t.column("key")[:1], "ids": pa.array([ids.tolist()], pa.list_(pa.int32()))})
@@ -291,16 +306,15 @@ def _encode(model: str, giant: bool, full: bool):
     names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"] + ["ids", "decoded"] * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for first, end in text_blocks(texts):
-                part = texts[first:end]
-                ids = [np.array(x, np.int32) for x in b.column("ids").to_pylist()[first:end]] if giant else codec.encode_batch(part)
+        codec = codec_of(model)
+        for whole in batches:
+            for b in slices(whole):
+                part = b.column("text").to_pylist()
+                ids = [np.array(x, np.int32) for x in b.column("ids").to_pylist()] if giant else codec.encode_batch(part)
                 decoded = codec.decode_batch([x.tolist() for x in ids])
                 # a space mark inside a text is encoded as a space
                 same = [d == t.replace(SPACE, " ") for d, t in zip(decoded, part, strict=True)]
-                cols = [b.column("doc_id").slice(first, end - first), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array(same)]
+                cols = [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array(same)]
                 if full:
                     cols += [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -310,7 +324,7 @@ def _encode(model: str, giant: bool, full: bool):
 
 def giant_ids(rows: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """key, ids of each document in rows (key, text), by the max-plus scan."""
-    around = PieceCodec(model).longest
+    around = codec_of(model).longest
     chunks = C.written(rows.mapInArrow(_chunks(chunk, around), CHUNKS).repartition(F.col("key"), F.col("k")), "piece-chunks")
     matrices = C.written(chunks.mapInArrow(_transfers(model), "key long, k int, rows int, matrix binary"), "piece-transfers")
     states = matrices.groupBy("key").applyInArrow(_states, "key long, k int, first int, last int")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import rolling as R
 
@@ -77,6 +79,16 @@ class UnitEncoder:
         return self.pool[flat], bounds
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``most`` bytes of text, so that only one run is unpacked at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def text_blocks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters."""
     first, size = 0, 0
