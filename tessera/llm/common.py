@@ -42,6 +42,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id is in ids (doc_id); null equals null. All columns stay, whatever their names."""
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_semi")
+
+
 def few(df: DataFrame, most: int) -> bool:
     """Whether df has at most ``most`` rows: the check before a broadcast."""
     return df.limit(most + 1).count() <= most

@@ -139,11 +139,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, all columns unchanged."""
     kept = C.written(exact_groups(docs, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "exact-kept")
-    kept = kept.withColumnRenamed("doc_id", "_keep")
-    out = docs.join(kept.where("n = 1").select("_keep"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = kept.where("n > 1").select("_keep")
+    out = C.keep_ids(docs, kept.where("n = 1").select("doc_id"), id_col)
+    repeated = kept.where("n > 1").select("doc_id")
     if repeated.limit(1).count():
-        # ids that several rows share: the longest original of each id and text, one row of each
-        again = docs.join(repeated, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-        out = out.unionByName(again.withColumn("_norm", digest_of(normalised(text_col))).dropDuplicates([id_col, "_norm"]).drop("_norm"))
+        # ids that several rows share: one row of each id and normalised text
+        norm = C.fresh(docs, "_norm")
+        again = C.keep_ids(docs, repeated, id_col).withColumn(norm, digest_of(normalised(text_col)))
+        out = out.unionByName(again.dropDuplicates([id_col, norm]).drop(norm))
     return out

@@ -275,10 +275,9 @@ def near_groups(docs: DataFrame, least: float = LEAST, size: int = SHINGLE, band
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """docs with one document of each group: the one of the smallest id; all columns unchanged."""
-    kept = C.written(near_groups(docs, id_col=id_col, text_col=text_col, **options).where("kept").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    rows = docs.join(kept.where("n = 1").select("_keep"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = kept.where("n > 1").select("_keep")
+    kept = C.written(near_groups(docs, id_col=id_col, text_col=text_col, **options).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    rows = C.keep_ids(docs, kept.where("n = 1").select("doc_id"), id_col)
+    repeated = kept.where("n > 1").select("doc_id")
     if repeated.limit(1).count():
-        again = docs.join(repeated, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-        rows = rows.unionByName(again.dropDuplicates([id_col, text_col]))
+        rows = rows.unionByName(C.keep_ids(docs, repeated, id_col).dropDuplicates([id_col, text_col]))
     return rows

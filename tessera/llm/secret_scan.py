@@ -174,13 +174,14 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "do
     """docs with every secret replaced by REDACTED; all columns and rows stay, n_chars follows where it exists."""
     found = scan(docs, labelled, id_col=id_col, text_col=text_col, path=path).where("is_secret")
     # repeated rows find the same places twice
-    places = C.written(found.groupBy(F.col("key").alias("_key")).agg(F.collect_set("place").alias("_places")), "secret-places")
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), C.text_or_empty(text_col)))
-    rows = rows.join(F.broadcast(places) if C.few(places, BROADCAST_ROWS) else places, "_key", "left")  # checked size
+    key, at = C.fresh(docs, "_key"), C.fresh(docs, "_places")
+    places = C.written(found.groupBy(F.col("key").alias(key)).agg(F.collect_set("place").alias(at)), "secret-places")
+    rows = docs.withColumn(key, F.xxhash64(F.col(id_col), C.text_or_empty(text_col)))
+    rows = rows.join(F.broadcast(places) if C.few(places, BROADCAST_ROWS) else places, key, "left")  # checked size
     parts, hits = F.split(F.col(text_col), PATTERN, -1), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
-    put = F.transform(F.concat(hits, F.array(F.lit(""))), lambda c, i: F.when(F.array_contains("_places", i), F.concat(F.regexp_extract(c, f"^{LEAD}", 0), F.lit(REDACTED))).otherwise(c))
-    clean = F.array_join(F.zip_with(parts, put, lambda a, b: F.concat(a, b)), "")
-    rows = rows.withColumn(text_col, F.when(F.col("_places").isNotNull(), clean).otherwise(F.col(text_col)))
+    mark = lambda c, i: F.when(F.array_contains(at, i), F.concat(F.regexp_extract(c, f"^{LEAD}", 0), F.lit(REDACTED))).otherwise(c)
+    clean = F.array_join(F.zip_with(parts, F.transform(F.concat(hits, F.array(F.lit(""))), mark), lambda a, b: F.concat(a, b)), "")
+    rows = rows.withColumn(text_col, F.when(F.col(at).isNotNull(), clean).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_places").isNotNull(), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(at).isNotNull(), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
