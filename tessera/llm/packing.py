@@ -38,10 +38,11 @@ ROWS_PER_SALT = 20_000
 
 def _cut(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .word_bpe import WordBpe
+        from .units import slices
+        from .word_bpe import encoder_of
 
-        encoder = WordBpe(tokenizer)
-        for b in batches:
+        encoder = encoder_of(tokenizer)
+        for b in (part for whole in batches for part in slices(whole)):
             rows: list[tuple] = []
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for doc, ids in zip(docs, encoder.encode_batch(texts), strict=True):

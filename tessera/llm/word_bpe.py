@@ -7,6 +7,7 @@ the suffix joins the last byte first, as there. Texts with special strings, and
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 
@@ -67,6 +68,12 @@ def cut(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin[word], finish[word]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordBpe:
+    """One encoder, and so one cache, for all tasks of a worker."""
+    return WordBpe(path)
+
+
 class WordBpe:
     def __init__(self, path: str):
         import tiktoken
