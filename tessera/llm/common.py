@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
@@ -52,6 +55,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of docs whose id is in ids (doc_id); null equals null. All columns stay, whatever their names."""
+    if few(ids, BROADCAST_IDS):  # checked: so many numbers at most; texts then stay where they are
+        ids = F.broadcast(ids)
     return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_semi")
 
 
