@@ -26,16 +26,23 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", ve
     return best.select("query_id", id_col, "distance", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col)).cast("bigint").alias("rank")).where(F.col("rank") <= k)
 
 
+#: Metrics that are never less than the Euclidean distance, for which a cell's radius bounds its rows' distances.
+BOUNDED = {"l2", "euclidean", "manhattan", "l1"}
+
+
 class VectorIndex:
     """An inverted-file index: rows belong to the nearest of a bounded number of centroids, a search probes a few.
 
     Centroids are refined on a sample of at most ``sample`` rows; all rows are indexed. Inserts and deletes keep the
-    index in step; a search reranks exactly, so only rows outside the probed cells can be missed."""
+    index in step. A search probes the nearest cells first, then every further cell that may hold a row as near as the
+    k-th found (distance to its centre less its radius), so no neighbour is lost; where the metric has no such bound
+    (cosine, inner product), it visits all cells."""
 
     def __init__(self, dim: int, centroids: int = 16, metric: str = "l2", sample: int = 10_000, seed: int = 3):
         self.dim, self.n, self.metric, self.sample, self.seed = dim, centroids, metric, sample, seed
         self.cells: DataFrame | None = None
         self.centres: list[list[float]] = []
+        self._sizes: list[float] | None = None
 
     def _check(self, df: DataFrame) -> DataFrame:
         bad = (F.size("embedding") != self.dim) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -54,23 +61,63 @@ class VectorIndex:
             means = self._assign(sample).select("cell", F.posexplode("embedding").alias("j", "x")).groupBy("cell", "j").agg(F.avg("x").alias("m")).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("v"))
             for r in means.collect():  # a row for each centroid
                 self.centres[r.cell] = [x.m for x in r.v]
-        self.cells = self._assign(rows)
+        self.cells, self._sizes = self._assign(rows), None
         return self
 
     def insert(self, df: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> None:
         new = self._check(df.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("embedding")))
         if new.join(self.cells, "vec_id", "left_semi").limit(1).count() or new.groupBy("vec_id").count().where("count > 1").limit(1).count():
             raise ValueError("duplicate id")
-        self.cells = self.cells.unionByName(self._assign(new))
+        self.cells, self._sizes = self.cells.unionByName(self._assign(new)), None
 
     def delete(self, ids: DataFrame) -> None:
         self.cells = self.cells.join(ids.select("vec_id"), "vec_id", "left_anti")
 
+    def _radii(self) -> list[float]:
+        """The largest distance of a row to its cell's centre; -1 for an empty cell. Rows that are deleted leave it valid."""
+        if self._sizes is None:
+            centre = F.element_at(F.array(*map(V.literal, self.centres)), F.col("cell") + 1)
+            found = self.cells.groupBy("cell").agg(F.max(V.l2_distance(F.col("embedding"), centre)).alias("r")).collect()  # a row for each centroid
+            self._sizes = [-1.0] * len(self.centres)
+            for x in found:
+                self._sizes[x.cell] = -1.0 if x.r is None else x.r
+        return self._sizes
+
     def search(self, query: list[float], k: int, probes: int = 4) -> DataFrame:
         if len(query) != self.dim:
             raise ValueError("query of wrong dimension")
-        order = sorted(range(len(self.centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.centres[i], query, strict=True)))
-        return knn(self.cells.where(F.col("cell").isin(order[:probes])), query, k, self.metric).select("vec_id", "distance")
+        spark = self.cells.sparkSession
+        asked = spark.createDataFrame([(0, list(map(float, query)))], "vec_id long, embedding array<double>")
+        return self.search_all(asked, k, probes).orderBy("rank").select("vec_id", "distance")
+
+    def search_all(self, queries: DataFrame, k: int, probes: int = 4, id_col: str = "vec_id", vec: str = "embedding", blocks: int = 16) -> DataFrame:
+        """query_id, rank, vec_id, distance: the k nearest rows of every query. Query ids are taken to be distinct.
+
+        Queries meet the rows of a cell in blocks by an equi-join; each block keeps k rows per query."""
+        asked = self._check(queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("embedding"))).where("embedding is not null")
+        bounded = self.metric.lower() in BOUNDED
+        cell = lambda i, c, r: F.struct(V.l2_distance(F.col("embedding"), V.literal(c)).alias("d"), F.lit(i).alias("cell"), F.lit(float(r)).alias("r"))
+        cells = F.array_sort(F.array(*(cell(i, c, r) for i, (c, r) in enumerate(zip(self.centres, self._radii(), strict=True)))))
+        asked = asked.select("query_id", F.col("embedding").alias("_q"), F.posexplode(cells).alias("_at", "_c")).where("_c.r >= 0")
+        asked = asked.select("query_id", "_q", "_at", F.col("_c.cell").alias("cell"), (F.col("_c.d") - F.col("_c.r") - 1e-9 * (F.col("_c.d") + F.col("_c.r"))).alias("_least"))
+        rows = self.cells.select("vec_id", F.col("embedding").alias("_v"), "cell", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("_b"))
+
+        def best(some: DataFrame) -> DataFrame:
+            q = some.select("query_id", "_q", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+            pairs = rows.join(small(q), ["cell", "_b"]).withColumn("distance", V.vector_distance(F.col("_v"), F.col("_q"), self.metric)).where("distance is not null")
+            block = Window.partitionBy("query_id", "cell", "_b").orderBy("distance", "vec_id")
+            return pairs.select("query_id", "vec_id", "distance", F.row_number().over(block).alias("_rn")).where(F.col("_rn") <= k).drop("_rn")
+
+        def merged(found: DataFrame) -> DataFrame:
+            order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+            return found.select("query_id", F.row_number().over(order).cast("bigint").alias("rank"), "vec_id", "distance").where(F.col("rank") <= k)
+
+        if not bounded:
+            return merged(best(asked))
+        first = merged(best(asked.where(F.col("_at") < probes)))
+        reach = first.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("distance").alias("_reach"))
+        rest = asked.where(F.col("_at") >= probes).join(reach, F.col("query_id") == F.col("_id"), "left").where("_reach is null or _least <= _reach")
+        return merged(first.select("query_id", "vec_id", "distance").unionByName(best(rest)))
 
     def save(self, path: str) -> None:
         self.cells.write.partitionBy("cell").parquet(f"{path}/cells")

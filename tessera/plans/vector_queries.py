@@ -59,3 +59,14 @@ def knn_join_query(t: Tables) -> DataFrame:
 def ann_index(t: Tables) -> DataFrame:
     """How many rows a probed search returns; recall is measured in the tests."""
     return VectorIndex(64).build(t.embeddings).search(PROBE, 10, probes=8).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+    SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+        SELECT q.vec_id AS query_id, r.vec_id, list_distance(r.{E}, q.{E}) AS distance
+        FROM embeddings q JOIN embeddings r ON true WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def ann_index_all(t: Tables) -> DataFrame:
+    """Every row whose id is divisible by 50 asked of an index of all rows."""
+    found = VectorIndex(64).build(t.embeddings).search_all(t.embeddings.where("vec_id % 50 = 0"), 10)
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
-from tessera.operators.knn import VectorIndex, knn
+from tessera.operators.knn import VectorIndex, knn, knn_join
 from tessera.operators.relational import not_in, range_join
 from tessera.streaming import events
 
@@ -63,6 +63,19 @@ def test_vector_index(spark, tmp_path):
     assert sum(r.rows for r in again.stats().collect()) == 200
 
 
+def test_vector_index_recall_of_all_queries(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = table.where("vec_id % 50 = 0")
+    want = {(r.query_id, r.vec_id) for r in knn_join(asked, table, 10).collect()}
+    index = VectorIndex(64).build(table)
+    got = {(r.query_id, r.vec_id) for r in index.search_all(asked, 10).collect()}
+    assert len(want) == 10 * asked.count() and len(got & want) / len(want) >= 0.9
+    one = asked.orderBy("vec_id").first()
+    assert [r.vec_id for r in index.search(one.embedding, 10).collect()] == [r.vec_id for r in knn(table, one.embedding, 10).collect()]
+    cosine = {(r.query_id, r.vec_id) for r in VectorIndex(64, metric="cosine").build(table).search_all(asked, 10, probes=1).collect()}
+    assert cosine == {(r.query_id, r.vec_id) for r in knn_join(asked, table, 10, "cosine").collect()}
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     src = spark.read.parquet(f"{sf}/events.parquet")
     stream = events.tumbling(events.read(spark, f"{sf}/events.parquet*", src.schema))
