@@ -104,3 +104,10 @@ def join_null_keys(t: Tables) -> DataFrame:
     a = t.customer.where("c_custkey < 50").select(F.col("c_custkey").alias("ka"), F.nullif(F.col("c_nationkey"), F.lit(3)).alias("ak"))
     b = t.supplier.select(F.col("s_suppkey").alias("kb"), F.nullif(F.col("s_nationkey"), F.lit(4)).alias("bk"))
     return a.join(b, F.col("ak") == F.col("bk"), "full").select("ka", "kb")
+
+
+@query("SELECT a.c_custkey AS ka, b.s_suppkey AS kb FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) a FULL JOIN (SELECT s_suppkey, nullif(s_nationkey, 4) AS k FROM supplier) b ON a.k = b.k")
+def join_null_keys_all(t: Tables) -> DataFrame:
+    a = t.customer.select(F.col("c_custkey").alias("ka"), F.nullif(F.col("c_nationkey"), F.lit(3)).alias("ak"))
+    b = t.supplier.select(F.col("s_suppkey").alias("kb"), F.nullif(F.col("s_nationkey"), F.lit(4)).alias("bk"))
+    return a.join(b, F.col("ak") == F.col("bk"), "full").select("ka", "kb")

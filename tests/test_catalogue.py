@@ -18,3 +18,10 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 def test_every_query_has_sql():
     assert set(NAMES) == set(catalogue.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["dml_upsert_all", "dml_do_nothing_all", "dml_insert_select_all", "dml_rollback_all", "join_null_keys_all"])
+def test_changes_reach_every_customer(spark, sf, name):
+    key = "ka" if name.startswith("join") else "c_custkey"
+    got = {r[0] for r in catalogue.queries()[name](spark, sf).select(key).collect()}
+    assert {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()} <= got
