@@ -1,9 +1,11 @@
 """License scan: sparse TF-IDF cosine of lines and whole files to templates, then inheritance by directory.
 
-Every line that holds a cue word, and every file that as a whole is short enough to be a license text, becomes a
-sparse TF-IDF vector over the templates' terms; its cosine to each template is a join on the term. A file's own
-license is the best match of its lines (headers, footers) or of itself. Files without one take that of the nearest
-ancestor directory that holds a license file, by a join of their ancestor paths.
+Every line that holds a cue word, and every file with such a line as a whole, whatever its length, becomes a sparse
+TF-IDF vector over the templates' terms; its cosine to each template is a join on the term. Whole files are compared
+with full license texts too. A file's own license is the best match of its lines (headers, footers) or of itself. A
+license file is one that matches as a whole, whose matched pieces make up most of its words, or that matches and has
+the name of one (LICENSE, COPYING). Files without a license take that of the nearest ancestor directory that holds a
+license file, by a join of their ancestor paths.
 
 Defined results. Null text counts as empty, a null path as a file without directory. One row per input row. Of equal
 cosines the alphabetically first license wins; of several license files in one directory the best cosine, then the
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +38,10 @@ TEMPLATES = {
 }
 CUES = r"(?i)licen[sc]e|copyright|spdx|redistribution|public domain|free software|hereby granted|creative commons"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
-#: Cosine of a match; most words of a file that may be a license file as a whole (longer ones are judged by lines).
-LEAST, FILE_WORDS = 0.6, 4000
+#: Cosine of a match, and share of a license file's words that its matched pieces hold.
+LEAST, SHARE = 0.6, 0.6
+#: Names of license files.
+NAMED = r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying|copyright)[^/]*$"
 
 
 def terms(text: str) -> list[str]:
@@ -57,43 +62,53 @@ def template_weights(templates: dict[str, list[str]]) -> list[tuple[int, str, st
     return rows
 
 
-def _table(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
-    return spark.createDataFrame(template_weights(templates), "template int, license string, term string, weight double, idf double")
+def full_texts() -> dict[str, list[str]]:
+    """License: its full text, from the files beside this one (read on the driver)."""
+    return {p.stem: [p.read_text(encoding="utf-8")] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
-def cosines(pieces: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
-    """key, whole, license, cosine: the best template of each piece (key, piece, whole, text)."""
-    table = _table(pieces.sparkSession, templates)
-    unseen = math.log(1 + sum(map(len, templates.values()))) + 1  # idf of terms that no template has
-    tokens = pieces.select("key", "piece", "whole", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = tokens.groupBy("key", "piece", "whole", "term").agg(F.count(F.lit(1)).alias("tf"))
+def cosines(pieces: DataFrame, weights: list[tuple[int, str, str, float, float]], count: int) -> DataFrame:
+    """key, whole, share, piece, license, cosine of each piece (key, piece, whole, share, text) and template of ``weights``, the best only."""
+    table = pieces.sparkSession.createDataFrame(weights, "template int, license string, term string, weight double, idf double")
+    unseen = math.log(1 + count) + 1  # idf of terms that no template has
+    of = ["key", "piece", "whole", "share"]
+    tokens = pieces.select(*of, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    counts = tokens.groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
     # the template table is as large as the templates: safe to broadcast
     known = F.broadcast(table.select("term", "idf").distinct())
     weighted = counts.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    vectors = weighted.groupBy("key", "piece", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("terms"))
-    products = vectors.select("key", "piece", "whole", "size", F.explode("terms").alias("t")).select("key", "piece", "whole", "size", "t.term", "t.w")
-    sums = products.join(F.broadcast(table.drop("idf")), "term").groupBy("key", "piece", "whole", "size", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    found = sums.select("key", "whole", "license", F.round(F.col("dot") / F.col("size"), 6).alias("cosine"))
+    vectors = weighted.groupBy(*of).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("terms"))
+    products = vectors.select(*of, "size", F.explode("terms").alias("t")).select(*of, "size", "t.term", "t.w")
+    sums = products.join(F.broadcast(table.drop("idf")), "term").groupBy(*of, "size", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    found = sums.select(*of, "license", F.round(F.col("dot") / F.col("size"), 6).alias("cosine"))
     best = F.min_by(F.struct("license", "cosine"), F.struct((-F.col("cosine")).alias("c"), "license"))
-    return found.groupBy("key", "whole").agg(best.alias("b")).select("key", "whole", "b.license", "b.cosine")
+    return found.groupBy(*of).agg(best.alias("b")).select(*of, "b.license", "b.cosine")
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """path, license, cosine, origin (own, inherited or null), license_path for each row of files."""
+    full = {} if templates else full_texts()
     templates = templates or TEMPLATES
     rows = files.select(F.col(path_col).alias("path"), C.text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("path", "text"))
-    cued = rows.where(F.col("text").rlike(CUES)).dropDuplicates(["key"])
-    lines = cued.select("key", F.posexplode(F.split("text", r"[\n\r]+")).alias("piece", "text"), F.lit(False).alias("whole")).where(F.col("text").rlike(CUES))
+    words = lambda text: F.regexp_count(F.lower(text), F.lit(TERM))
+    cued = rows.where(F.col("text").rlike(CUES)).dropDuplicates(["key"]).withColumn("words", F.greatest(words(F.col("text")), F.lit(1)))
+    lines = cued.select("key", "words", F.posexplode(F.split("text", r"[\n\r]+")).alias("piece", "text"), F.lit(False).alias("whole")).where(F.col("text").rlike(CUES))
     # sentences that a line holds besides the notice would dilute it
-    lines = lines.select("key", F.explode(F.split("text", r"(?<=[.;!?])\s+(?=[A-Z])")).alias("text"), "whole", "piece").where(F.col("text").rlike(CUES))
-    lines = lines.select("key", F.xxhash64("piece", "text").alias("piece"), "whole", "text")
-    whole = cued.where(F.size(F.split("text", r"\s+")) <= FILE_WORDS).select("key", F.lit(-1).cast("long").alias("piece"), F.lit(True).alias("whole"), "text")
-    best = C.written(cosines(lines.unionByName(whole.select(*lines.columns)), templates).where(F.col("cosine") >= least), "license-matches")
+    lines = lines.select("key", "words", F.explode(F.split("text", r"(?<=[.;!?])\s+(?=[A-Z])")).alias("text"), "whole", "piece").where(F.col("text").rlike(CUES))
+    lines = lines.select("key", F.xxhash64("piece", "text").alias("piece"), "whole", (words(F.col("text")) / F.col("words")).alias("share"), "text")
+    whole = cued.select("key", F.lit(-1).cast("long").alias("piece"), F.lit(True).alias("whole"), F.lit(1.0).alias("share"), "text")
+    matches = cosines(lines.unionByName(whole), template_weights(templates), sum(map(len, templates.values())))
+    if full:
+        every = {name: [*templates.get(name, []), *full.get(name, [])] for name in {*templates, *full}}
+        last = {sum(len(every[m]) for m in sorted(every) if m <= name) - 1 for name in full}
+        matches = matches.unionByName(cosines(whole, [w for w in template_weights(every) if w[0] in last], sum(map(len, every.values()))))
+    best = C.written(matches.where(F.col("cosine") >= least), "license-matches")
     rank = F.struct((-F.col("cosine")).alias("c"), "license")
-    own = best.groupBy("key").agg(F.min_by(F.struct("license", "cosine"), rank).alias("o"), F.max("whole").alias("is_file"))
-    named = C.written(rows.select("path", "key").join(own.select("key", "o.license", "o.cosine", "is_file"), "key", "left"), "license-own")
+    own = best.groupBy("key").agg(F.min_by(F.struct("license", "cosine"), rank).alias("o"), (F.max("whole") | (F.sum(F.when(~F.col("whole"), F.col("share"))) >= SHARE)).alias("made_up"))
+    is_file = (F.col("made_up") | F.col("path").rlike(NAMED)).alias("is_file")
+    named = C.written(rows.select("path", "key").join(own.select("key", "o.license", "o.cosine", "made_up"), "key", "left").select("path", "key", "license", "cosine", is_file), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
-    given = named.where("is_file and path is not null").select(F.coalesce(folder, F.lit("")).alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min_by(F.struct("license", "cosine", F.col("path").alias("license_path")), F.struct((-F.col("cosine")).alias("c"), "license", "path")).alias("g"))
+    given = named.where("is_file and license is not null and path is not null").select(F.coalesce(folder, F.lit("")).alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min_by(F.struct("license", "cosine", F.col("path").alias("license_path")), F.struct((-F.col("cosine")).alias("c"), "license", "path")).alias("g"))
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     bare = named.where("license is null and path is not null").select("key", "path").distinct()

@@ -43,3 +43,15 @@ def test_query_against_brute_force(spark, sf, texts):
             assert got[i] == (None, None)
         elif len(lines) == 1 and lines[0].count(".") <= 3 and lines[0] in {x for v in L.TEMPLATES.values() for x in v}:
             assert got[i] == tuple(reversed(brute(lines[0])))
+
+
+def test_full_license_texts_of_any_length_give_their_directory_a_license(spark):
+    full = L.full_texts()
+    assert len(full["GPL-3.0"][0].split()) > 4000
+    files = [(f"{name}/TERMS", text) for name, [text] in full.items()] + [(f"{name}/a/x.py", "print(1)") for name in full]
+    files += [("own/COPYING", "GNU General Public License, version 3\n" + "lorem ipsum dolor\n" * 3000), ("own/x.py", "print(1)"), ("code/a.py", "# This work is licensed under the GNU General Public License, version 3.\n" + "x = 1\n" * 3000), ("code/x.py", "print(1)")]
+    got = {r.path: (r.license, r.origin) for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for name in full:
+        assert got[f"{name}/TERMS"] == (name, "own") and got[f"{name}/a/x.py"] == (name, "inherited"), name
+    assert got["own/x.py"] == ("GPL-3.0", "inherited")
+    assert got["code/a.py"] == ("GPL-3.0", "own") and got["code/x.py"] == (None, None)
