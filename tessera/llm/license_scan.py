@@ -1,7 +1,7 @@
 """License scan: sparse TF-IDF cosine of lines and whole files to templates, then inheritance by directory.
 
-Every line that holds a cue word, and every file with such a line as a whole, whatever its length, becomes a sparse
-TF-IDF vector over the templates' terms; its cosine to each template is a join on the term. Whole files are compared
+Every line that holds a cue word, windows of neighbouring lines around it and their sentences, the leading comment,
+and every file with such a line as a whole, whatever its length, become sparse TF-IDF vectors over the templates' terms; their cosine to each template is a join on the term. Whole files are compared
 with full license texts too. A file's own license is the best match of its lines (headers, footers) or of itself. A
 license file is one that matches as a whole, whose matched pieces make up most of its words, or that matches and has
 the name of one (LICENSE, COPYING). Files without a license take that of the nearest ancestor directory that holds a
@@ -36,7 +36,13 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights. Public domain dedication CC0 1.0."],
 }
-CUES = r"(?i)licen[sc]e|copyright|spdx|redistribution|public domain|free software|hereby granted|creative commons"
+#: Cue words; those of two may be parted by a line break and comment marks.
+_GAP = r"[\s#*/;%-]+"
+CUES = rf"(?i)licen[sc]e|copyright|spdx|redistribution|public{_GAP}domain|free{_GAP}software|hereby{_GAP}granted|creative{_GAP}commons"
+#: Lines before and after a line with a cue that are joined to it as a window, and the window whose sentences are judged.
+WINDOWS, AROUND = ((0, 1), (1, 0), (1, 1), (2, 3), (2, 24)), 6
+COMMENT, MARKS = r"^\s*(?:#|//|/?\*|--|;|%|<!--|\"\"\"|$)", r"^[\s#*/;%<!\"-]+|\s*(?:\*/|-->)\s*$"
+SENTENCE = r"(?<=[.;!?])\s+(?=[A-Z])"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Cosine of a match, and share of a license file's words that its matched pieces hold.
 LEAST, SHARE = 0.6, 0.6
@@ -92,10 +98,24 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
     rows = files.select(F.col(path_col).alias("path"), C.text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("path", "text"))
     words = lambda text: F.regexp_count(F.lower(text), F.lit(TERM))
     cued = rows.where(F.col("text").rlike(CUES)).dropDuplicates(["key"]).withColumn("words", F.greatest(words(F.col("text")), F.lit(1)))
-    lines = cued.select("key", "words", F.posexplode(F.split("text", r"[\n\r]+")).alias("piece", "text"), F.lit(False).alias("whole")).where(F.col("text").rlike(CUES))
-    # sentences that a line holds besides the notice would dilute it
-    lines = lines.select("key", "words", F.explode(F.split("text", r"(?<=[.;!?])\s+(?=[A-Z])")).alias("text"), "whole", "piece").where(F.col("text").rlike(CUES))
-    lines = lines.select("key", F.xxhash64("piece", "text").alias("piece"), "whole", (words(F.col("text")) / F.col("words")).alias("share"), "text")
+    # pieces of a file: its lines with a cue and their sentences, as other sentences would dilute the notice; then windows
+    raw = F.split("text", r"\r\n|\n|\r")
+    judged = cued.select("key", "words", "text", raw.alias("raw"), F.transform(raw, lambda x: F.regexp_replace(x, MARKS, "")).alias("plain"))
+    at = F.filter(F.sequence(F.lit(1), F.size("plain")), lambda i: F.concat_ws(" ", F.element_at("plain", i), F.get("plain", i)).rlike(CUES))
+    joined = lambda i, before, after: F.array_join(F.slice("plain", F.greatest(i - before, F.lit(1)), F.least(i, F.lit(before + 1)) + after), " ")
+    cue = lambda x: x.rlike(CUES)
+    single = F.flatten(F.transform(F.filter("raw", cue), lambda x: F.split(x, SENTENCE)))
+    sentences = F.flatten(F.transform("at", lambda i: F.split(joined(i, AROUND, AROUND), SENTENCE)))
+    windows = F.flatten(F.transform("at", lambda i: F.array(*(joined(i, x, y) for x, y in WINDOWS))))
+    code = F.array_position(F.transform("raw", lambda x: x.rlike(COMMENT)), False).cast("int")
+    head = F.array_join(F.slice("plain", 1, F.greatest(code - 1, F.lit(0))), " ")
+    block = F.regexp_extract("text", r"^\s*/\*([\s\S]*?)\*/", 1)
+    judged = judged.withColumn("at", at)
+    cued_of = lambda texts, kind: F.transform(F.array_distinct(F.filter(texts, cue)), lambda x: F.struct(F.lit(kind).alias("single"), x.alias("text")))
+    pieces = [cued_of(single, True), cued_of(F.concat(sentences, windows, F.array(head, block)), False)]
+    lines = judged.select("key", "words", F.explode(F.concat(*pieces)).alias("p"))
+    share = F.when(F.col("p.single"), words(F.col("p.text")) / F.col("words")).otherwise(0.0)
+    lines = lines.select("key", F.xxhash64("p.single", "p.text").alias("piece"), F.lit(False).alias("whole"), share.alias("share"), F.col("p.text").alias("text"))
     whole = cued.select("key", F.lit(-1).cast("long").alias("piece"), F.lit(True).alias("whole"), F.lit(1.0).alias("share"), "text")
     matches = cosines(lines.unionByName(whole), template_weights(templates), sum(map(len, templates.values())))
     if full:

@@ -55,3 +55,20 @@ def test_full_license_texts_of_any_length_give_their_directory_a_license(spark):
         assert got[f"{name}/TERMS"] == (name, "own") and got[f"{name}/a/x.py"] == (name, "inherited"), name
     assert got["own/x.py"] == ("GPL-3.0", "inherited")
     assert got["code/a.py"] == ("GPL-3.0", "own") and got["code/x.py"] == (None, None)
+
+
+def test_notices_wrapped_over_lines_in_longer_files(spark):
+    code = "value = compute(first, second)\nresult.append(value)\n" * 400
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at https://mozilla.org/MPL/2.0/."]
+    gpl = ["This program is free", "software: you can redistribute it and/or modify it under the terms of", "the GNU General Public License as published by the Free Software", "Foundation, either version 3 of the License, or (at your option)", "any later version."]
+    mit = L.full_texts()["MIT"][0].splitlines()
+    wrap = {"hash": ("", "# ", ""), "slash": ("", "// ", ""), "star": ("/*\n", " * ", " */\n"), "bare": ("/*\n", "", "*/\n")}
+    files, want = [("none.py", code)], {"none.py": None}
+    for kind, (top, mark, end) in wrap.items():
+        for name, lines in (("MPL-2.0", mpl), ("GPL-3.0", gpl), ("MIT", mit)):
+            for place in ("top", "late"):
+                notice = top + "".join(f"{mark}{x}\n" for x in lines) + end
+                files.append((f"{kind}-{place}-{name}", notice + code if place == "top" else code + notice + code))
+                want[files[-1][0]] = name
+    got = {r.path: r.license for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == want
