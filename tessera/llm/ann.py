@@ -12,7 +12,7 @@ leave a cell. Nothing is broadcast.
 
 Defined results. Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors
 of another dimension than ``dim`` (default: the most common one, the smaller of equals). A query never meets rows of
-its own id. Rows that repeat an id are candidates each; as queries, the vector that compares smallest is asked.
+its own id. Rows that repeat an id are candidates each; as queries, the usable vector that compares smallest is asked.
 Ties go to the smaller id. Null ids take no part. Further columns are ignored. No rows, no result.
 """
 
@@ -175,7 +175,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, deviations: float
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dim:
         return empty
-    asked = vectors.where(queries).groupBy(F.col(id_col).alias("_id")).agg(F.min(vec_col).alias("_vector"))
+    asked = _usable(vectors.where(queries), id_col, vec_col).where(F.size("vector") == dim)
+    asked = asked.where("forall(vector, x -> not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
+    asked = asked.groupBy(F.col("id").alias("_id")).agg(F.min("vector").alias("_vector"))
     index = build_index(vectors, dim, id_col, vec_col, seed)
     asked = build_index(asked, dim, "_id", "_vector", seed, max(1, CELL_QUERIES // dim // 16))
     n, q = (x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (index, asked))

@@ -49,3 +49,10 @@ def test_empty(spark):
     assert nearest(df, F.col("vec_id") % 20 == 0).count() == 0
     one = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert nearest(one, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_unusable_rows_of_a_repeated_id_do_not_hide_its_vector(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(6)] + [(20 * i, [1.0, 1.0]) for i in range(1, 6)]
+    rows += [(20, []), (40, [None, 1.0]), (60, [0.0, 0.0]), (80, [-9.0]), (100, [float("-inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r.query_id for r in nearest(df, F.col("vec_id") % 20 == 0).collect()} == {0, 20, 40, 60, 80, 100}
