@@ -1,19 +1,20 @@
 """Exact deduplication over a log-structured merge index of content digests, in DataFrame functions only.
 
-Each task that scans documents is a memtable: it flushes its (digest, document) entries as one sorted run, a
-Parquet file with a bloom filter and min/max statistics on the digest. Compaction merges runs and keeps for each
-digest the entry that stays. Groups of two or more rows (hits) are read again and compared byte by byte with the
-row that stays, so a digest collision cannot merge different texts.
+Each task that scans documents is a memtable: it flushes its (digest, id, length) entries as one sorted run, a Parquet
+file with a bloom filter and min/max statistics on the digest. The files of one append are dealt to ``RUNS`` runs;
+compaction merges one run after the other into level 1, which holds for each digest the entry that stays, and reads
+only level 1 and the new runs. ``lookup`` probes the filters and the statistics. Groups of two or more rows (hits) are
+read again and compared byte by byte with the row that stays, so a digest collision cannot merge different texts.
 
 Defined results. Null text counts as empty. Of equal normalised texts the row with most code points in the
 original text stays, then the smallest doc_id (null ids last). Rows that repeat both id and text are one document:
-all are reported, each with kept = true if its id stays, and ``keep_exact`` lets only one of them through. An
-empty table gives an empty result. Further columns, whatever their names, are ignored by the index.
+all are reported, each with kept = true if its id stays, and ``keep_exact`` lets only one of them through, as it lets
+one row of each group through where rows of different texts share an id. An empty table gives an empty result.
+Further columns, whatever their names, are ignored by the index and kept by ``keep_exact``.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bits of one row of the hit filter (the size of bitmap_construct_agg's result), and most rows: 4 MiB in all.
-FILTER_ROW, FILTER_ROWS = 32768, 1024
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "262144"}
 ENTRY = "digest binary, doc_id long, n_points int"
+LEVEL = "digest binary, keep_points int, keep_id long, group_size long"
+#: Runs that the files of one append are dealt to, and digests that one lookup probes at most by the runs' filters.
+RUNS, PROBES = 3, 1000
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -39,95 +41,109 @@ def digest_of(norm: Column) -> Column:
 class DigestIndex:
     """Runs and their compaction under ``path``: append(batch) as batches arrive, compact() now and then.
 
-    path/run=N holds level-0 runs, path/level1=N compacted ones. An entry is (digest, doc_id, n_points); the
-    compacted level has (digest, keep_points, keep_id, group_size)."""
+    path/batch=N/run=M holds level-0 runs of entries (digest, doc_id, n_points), path/level1=N the compacted rows
+    (digest, keep_points, keep_id, group_size). Entries stay readable after compaction, for the rows of a group, and
+    so must the documents of all batches, for verification."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.n = spark, path or C.scratch(spark, "digest-index"), 0
         self.runs: list[str] = []
+        self.pending: list[str] = []
+        self.batches: list[tuple[DataFrame, list[str]]] = []
         self.level1: str | None = None
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Flush one batch: every scanning task writes one sorted run."""
-        out = f"{self.path}/run={self.n}"
+        """Flush one batch: every scanning task writes one sorted file, the files are dealt to runs."""
+        out = f"{self.path}/batch={self.n}"
         entries = docs.select(
             digest_of(normalised(text_col)).alias("digest"),
             F.col(id_col).cast("long").alias("doc_id"),
             F.length(C.text_or_empty(text_col)).alias("n_points"),
+            F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"),
         )
-        entries.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(out)
-        self.runs.append(out)
+        entries.sortWithinPartitions("run", "digest").write.options(**RUN_OPTIONS).partitionBy("run").parquet(out)
+        found = [r.run for r in self.spark.read.schema(ENTRY + ", run int").parquet(out).select("run").distinct().collect()]  # at most RUNS
+        new = [f"{out}/run={r}" for r in sorted(found)]
+        self.runs += new
+        self.pending += new
+        self.batches.append((docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), new))
         self.n += 1
 
-    def entries(self) -> DataFrame:
-        """All entries ever appended."""
-        if not self.runs:
-            return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(ENTRY).parquet(*self.runs)
-
-    def compact(self) -> DataFrame:
-        """Merge what was appended: one row per digest, the entry that stays. Partial aggregation runs before the
-        shuffle, so a digest that holds a third of the rows costs one row per task."""
-        best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i")))
-        merged = self.entries().groupBy("digest").agg(best.alias("k"), F.count(F.lit(1)).alias("group_size"))
-        out = f"{self.path}/level1={self.n}"
-        kept = merged.select("digest", (-F.col("k.p")).alias("keep_points"), F.col("k.i").alias("keep_id"), "group_size")
-        kept.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(out)
-        self.level1 = out
-        return self.spark.read.schema(kept.schema).parquet(out)
-
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        """The index rows of ``digests`` (column digest), from the compacted level."""
-        level = self.spark.read.parquet(self.level1) if self.level1 else self.compact()
-        return digests.join(level, "digest")
-
-
-def _bit(key: Column, rows: int) -> tuple[Column, Column]:
-    h = F.pmod(F.xxhash64(key), F.lit(rows * FILTER_ROW))
-    return F.floor(h / FILTER_ROW).cast("int"), (h % FILTER_ROW).cast("int")
+    def entries(self, last: bool = False) -> DataFrame:
+        """All entries ever appended, or those of the last batch."""
+        runs = self.batches[-1][1] if last else self.runs
+        return self.spark.read.schema(ENTRY).parquet(*runs) if runs else self.spark.createDataFrame([], ENTRY)
 
+    def texts(self) -> DataFrame:
+        """doc_id, text of all batches."""
+        return reduce(DataFrame.unionByName, [docs for docs, _ in self.batches])
 
-def hit_filter(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """A bitmap over the ids in ``keys``, of a size that is bounded by FILTER_ROWS x 4 KiB."""
-    rows = max(1, min(FILTER_ROWS, math.ceil(16 * n / FILTER_ROW)))
-    row, bit = _bit(F.col("doc_id"), rows)
-    return keys.select(row.alias("_row"), bit.cast("long").alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map")), rows
+    def level(self) -> DataFrame:
+        """The compacted rows."""
+        return self.spark.read.schema(LEVEL).parquet(self.level1) if self.level1 else self.spark.createDataFrame([], LEVEL)
 
+    def compact(self) -> DataFrame:
+        """Merge the pending runs, one after the other, into level 1. Partial aggregation runs before the shuffle, so
+        a digest that holds a third of the rows costs one row per task."""
+        best = F.min(F.struct((-F.col("keep_points")).alias("p"), F.col("keep_id").isNull().alias("n"), F.col("keep_id").alias("i")))
+        while self.pending:
+            run = self.spark.read.schema(ENTRY).parquet(self.pending[0])
+            new = run.select("digest", F.col("n_points").alias("keep_points"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+            merged = self.level().unionByName(new).groupBy("digest").agg(best.alias("k"), F.sum("group_size").alias("group_size"))
+            kept = merged.select("digest", (-F.col("k.p")).cast("int").alias("keep_points"), F.col("k.i").alias("keep_id"), "group_size")
+            out, old = f"{self.path}/level1={self.n}", self.level() if self.level1 else None
+            kept.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(out)
+            self.level1, self.n = out, self.n + 1
+            self.pending.pop(0)
+            if old:
+                C.removed(old)
+        return self.level()
 
-def _maybe_hit(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """Rows of docs whose id may be in keys. The filter has at most FILTER_ROWS rows, so it is safe to broadcast."""
-    table, rows = hit_filter(keys, n)
-    row, bit = _bit(F.col("doc_id"), rows)
-    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(F.col("_b") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = docs.withColumns({"_row": row, "_b": bit}).join(F.broadcast(table), "_row")
-    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1, _b % 8)")) != 0).drop("_row", "_b", "_map")
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """The index rows of ``digests`` (column digest), all runs included. Up to PROBES digests are pushed to the
+        files, whose statistics and bloom filters rule out row groups; more are joined."""
+        level = self.compact()
+        some = [bytes(r.digest) for r in digests.select("digest").distinct().limit(PROBES + 1).collect()]  # bounded
+        if len(some) <= PROBES:
+            return level.where(F.col("digest").isin(some)) if some else level.limit(0)
+        return digests.select("digest").distinct().join(level, "digest")
+
+
+def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    """Appends docs to the index and gives digest, doc_id, n_points, keep_points, keep_id, group_size of each of its
+    rows, judged against all batches and verified byte by byte."""
+    index = index or DigestIndex(docs.sparkSession)
+    index.append(docs, id_col, text_col)
+    level, entries = index.compact(), index.entries(last=True)
+    resolved = entries.join(level, "digest")
+    touched = C.written(resolved.where("group_size > 1").groupBy("digest", "keep_id", "keep_points").agg(F.count(F.lit(1)).alias("n")), "touched")
+    if not touched.limit(1).count():
+        return resolved
+    hits = C.written(index.entries().join(touched.select("digest"), "digest").select("doc_id"), "hits")
+
+    def norm(ids: DataFrame, column: str) -> DataFrame:
+        some = C.IdFilter(ids, column).marked(index.texts(), F.col("doc_id"), "_hit").where("_hit")
+        return some.select("doc_id", F.length(C.text_or_empty("text")).alias("n_points"), normalised("text").alias("norm")).withColumn("digest", digest_of(F.col("norm")))
+
+    # the texts of rows that stay, and byte verification of every hit against them: joins of exchanged sides, which
+    # adaptive execution can split where a digest is hot; rows that differ would be digest collisions
+    keep = touched.select(F.col("digest").alias("_d"), "keep_id", "keep_points")
+    own = norm(touched, "keep_id")
+    own = own.join(keep, (own.digest == F.col("_d")) & own.doc_id.eqNullSafe(F.col("keep_id")) & (own.n_points == F.col("keep_points")))
+    own = C.written(own.groupBy("_d").agg(F.min("norm").alias("keep_norm")), "kept-texts")
+    differ = C.written(norm(hits, "doc_id").join(own, F.col("digest") == F.col("_d")).where("norm != keep_norm").select("_d", F.col("doc_id").alias("_i")), "differ")
+    C.removed(own, hits, touched)
+    if not differ.limit(1).count():
+        return resolved
+    alone = differ.distinct().withColumn("_alone", F.lit(True))
+    resolved = resolved.join(alone, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left")
+    return resolved.withColumns({"keep_id": F.expr("if(_alone, doc_id, keep_id)"), "keep_points": F.expr("if(_alone, n_points, keep_points)"), "group_size": F.expr("if(_alone, 1L, group_size)")}).drop("_d", "_i", "_alone")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    index = index or DigestIndex(spark)
-    index.append(docs, id_col, text_col)
-    level = index.compact()
-    many = level.where("group_size > 1").select("digest", "keep_id", "keep_points", "group_size")
-    entries = index.entries()
-    resolved = entries.join(level, "digest")
-    hits = resolved.where("group_size > 1")
-    n = level.where("group_size > 1").agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    if n:
-        hits = C.written(hits.select("digest", "doc_id"), "hits")
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        texts = _maybe_hit(texts, hits.where("doc_id is not null"), n).unionByName(texts.where("doc_id is null"))
-        norm = texts.select("doc_id", F.length(C.text_or_empty("text")).alias("n_points"), normalised("text").alias("norm")).withColumn("digest", digest_of(F.col("norm")))
-        keepers = norm.join(many, (norm.digest == many.digest) & norm.doc_id.eqNullSafe(F.col("keep_id")) & (norm.n_points == F.col("keep_points"))).select(many.digest, F.col("norm").alias("keep_norm"))
-        # byte verification of every hit against the row that stays; differing rows would be digest collisions
-        differ = C.written(norm.join(keepers, "digest").where("norm != keep_norm").select("digest", "doc_id").distinct(), "differ")
-        resolved = resolved.join(
-            differ.withColumn("alone", F.lit(True)).withColumnRenamed("digest", "_d").withColumnRenamed("doc_id", "_i"),
-            (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")),
-            "left",
-        ).withColumns({"keep_id": F.expr("if(alone, doc_id, keep_id)"), "group_size": F.expr("if(alone, 1L, group_size)")})
-    return resolved.select(
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs, which join the index and are judged
+    against all its batches."""
+    return resolve(docs, id_col, text_col, index).select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
@@ -137,13 +153,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns unchanged."""
-    kept = C.written(exact_groups(docs, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "exact-kept")
-    out = C.keep_ids(docs, kept.where("n = 1").select("doc_id"), id_col)
-    repeated = kept.where("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        # ids that several rows share: one row of each id and normalised text
-        norm = C.fresh(docs, "_norm")
-        again = C.keep_ids(docs, repeated, id_col).withColumn(norm, digest_of(normalised(text_col)))
-        out = out.unionByName(again.dropDuplicates([id_col, norm]).drop(norm))
-    return out
+    """docs with one row of each group of equal texts, all columns unchanged. Rows are told apart by id, digest and
+    length; of rows equal in all three one stays."""
+    found = C.written(resolve(docs, id_col, text_col).where("group_size > 1"), "exact-groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    rows = found.groupBy(F.col("doc_id").alias("_i"), "digest", "n_points").agg(F.count(F.lit(1)).alias("c"), F.bool_or(stays).alias("_once"))
+    gone = rows.where("c > 1 or not _once").select("_i", F.struct("digest", "n_points").alias("_k"), "_once")
+    return C.without(docs, gone, id_col, F.struct(digest_of(normalised(text_col)).alias("digest"), F.length(C.text_or_empty(text_col)).alias("n_points")))

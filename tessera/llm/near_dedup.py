@@ -9,15 +9,18 @@ termination).
 
 Candidates share a band of registers. Documents with equal shingles and weights are one class from the start. In
 every bucket, each class meets the bucket's hub (the member whose hash with the band is least); J is computed from
-the texts, and pairs of at least ``least`` are links. Connected classes are one group. A bucket that then still
-holds members of several groups is judged in cells of bounded size: an inverted index of the cell's shingles bounds J
-of every two members of different groups, J is computed where the bound allows a link, and one link for each member
-and group leaves the cell. So no link between candidates is lost, no pair is tried within a group, and no list of
-pairs is made. No bucket is capped; a larger one has more cells.
+the texts, and pairs of at least ``least`` are links. Connected classes are one group. In a bucket that then still
+holds several groups, the members outside its largest group meet all its members in cells whose number of members and
+shingles is bounded (a larger text has a block by itself): an inverted index of the cell's shingles bounds J of every
+two members of different groups, J is computed where the bound allows a link, and one link for each member and group
+leaves the cell. So no link between candidates is lost, no pair is tried within a group, members of the largest group
+do not meet each other, and no list of pairs is made. No bucket is capped; a larger one has more cells.
 
 Defined results. Words are [^\\x20\\x09-\\x0D]+; a text of one to four words is one shingle; a text without words (null,
 empty, blank) is a group by itself. One row per input row; the group's name is its smallest doc_id (nulls last).
-Rows that repeat are in one group; ``keep_first`` lets one of them through. Further columns are ignored.
+Rows that repeat are in one group. ``keep_first`` lets one row of each group through, also where rows of one id
+repeat or differ (then the row of the smallest key). Rows are told apart by 128 bits of id and text. An empty table
+gives an empty result. Further columns are ignored by the groups and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -34,9 +37,8 @@ from . import rolling as R
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, BAND = 20, 5
-BROADCAST_KEYS = 250_000
-#: Members of a mixed bucket on either side of a cell.
-CELL = 512
+#: Members of a mixed bucket on either side of a cell, and their shingles, on average.
+CELL, CELL_SHINGLES = 512, 1 << 18
 
 
 def shingles(row: np.ndarray, h: np.ndarray, rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ def _sign(bands: int, band: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False)
+            keys = b.column("key")
             for first, end, data, offsets in R.blocks(b.column("text"), 2 * R.CHUNK):
                 rows = end - first
                 row, _, _, h = R.row_words(data, offsets)
@@ -105,7 +107,7 @@ def _sign(bands: int, band: int, size: int):
                     np.add.at(sums[i], r, R.mix(g * np.uint64(k) + w.astype(np.uint64)))
                 count = np.bincount(r, minlength=rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * bands, pa.int32()), pa.array(buckets.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first:end]), pa.array(count, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["key", "n", "s1", "s2", "buckets"])
+                yield pa.RecordBatch.from_arrays([keys.slice(first, end - first), pa.array(count, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["key", "n", "s1", "s2", "buckets"])
 
     return run
 
@@ -153,11 +155,9 @@ def _verify(least: float, size: int):
 
 
 def _texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row (key, text) for each of the keys. Keys are hashes of id and text: rows of one key are one document."""
+    """One row (key, text) for each of the keys. Rows of one key are one document."""
     keys = C.written(keys.distinct(), "near-keys")
-    if C.few(keys, BROADCAST_KEYS):  # checked: so many keys of 8 bytes at most
-        keys = F.broadcast(keys)
-    return C.written(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), "near-texts")
+    return C.written(C.semi(texts, keys, "key").dropDuplicates(["key"]), "near-texts")
 
 
 def links(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
@@ -166,69 +166,78 @@ def links(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFr
     some = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), texts)
     a = pairs.join(some.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
     both = a.join(some.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
-    return C.written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least, size), "a long, b long"), "near-links")
+    found = C.written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least, size), "a binary, b binary"), "near-links")
+    C.removed(some)
+    return found
 
 
 class _Parts:
-    """Union-find over the groups of one cell."""
+    """Union-find over the groups of one cell, numbered from 0."""
 
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
 
     def top(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
+        while (y := self.up[x]) != x:
+            self.up[x] = self.up[y]
             x = y
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.top(x), self.top(y)
         self.up[max(x, y)] = min(x, y)
-        return x != y
 
 
 def _cell(least: float, size: int):
     def run(t: pa.Table) -> pa.Table:
-        # the rows of one block on both sides, or of two blocks
+        # a block of members outside the largest group (left), and a block of all members
         t = t.sort_by("key")
-        keys, roots, side = (t.column(c).to_numpy() for c in ("key", "root", "side"))
+        keys, left = t.column("key").to_pylist(), t.column("left").to_numpy()
+        roots = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         sets = [_weights(x.as_py() or b"", size) for x in t.column("text").cast(pa.large_binary())]
-        share = [w / w.sum() for _, w in sets]
-        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
-        order = np.argsort(every := np.concatenate([h for h, _ in sets]), kind="stable")
-        every, owner, part = every[order], owner[order], np.concatenate(share)[order]
-        names, counts = np.unique(roots, return_counts=True)
-        largest, parts, out = names[counts.argmax()], _Parts(), []
-        two = len(np.unique(side)) > 1
-        for x in np.flatnonzero(roots != largest):
-            lo, hi = np.searchsorted(every, sets[x][0], "left"), np.searchsorted(every, sets[x][0], "right")
-            n = hi - lo
-            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-            # J is at most the common elements' share in either document
-            mine = np.bincount(owner[at], np.repeat(share[x], n), len(sets))
-            theirs = np.bincount(owner[at], part[at], len(sets))
-            near = np.minimum(mine, theirs) >= least - 1e-9
-            near &= (roots != roots[x]) & ((side != side[x]) if two else True)
-            for y in np.flatnonzero(near):
-                if parts.top(roots[x]) != parts.top(roots[y]) and jaccard(sets[x], sets[y]) >= least:
-                    parts.join(roots[x], roots[y])
-                    out.append((keys[x], keys[y]))
+        share = [w / max(w.sum(), 1) for _, w in sets]
+        right = np.flatnonzero(~left)
+        out, parts = [], _Parts(int(roots.max()) + 1)
+        if len(right):
+            owner = np.repeat(right, [len(sets[i][0]) for i in right])
+            order = np.argsort(every := np.concatenate([sets[i][0] for i in right]), kind="stable")
+            every, owner, part = every[order], owner[order], np.concatenate([share[i] for i in right])[order]
+            for x in np.flatnonzero(left):
+                lo, hi = np.searchsorted(every, sets[x][0], "left"), np.searchsorted(every, sets[x][0], "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                # J is at most the common elements' share in either document
+                mine = np.bincount(owner[at], np.repeat(share[x], n), len(sets))
+                theirs = np.bincount(owner[at], part[at], len(sets))
+                near = (np.minimum(mine, theirs) >= least - 1e-9) & (roots != roots[x]) & ~left
+                for y in np.flatnonzero(near):
+                    if parts.top(roots[x]) != parts.top(roots[y]) and jaccard(sets[x], sets[y]) >= least:
+                        parts.join(roots[x], roots[y])
+                        out.append((keys[x], keys[y]))
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
 
 def mixed_links(members: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
-    """Links between different groups (root) within the buckets of members (band, bucket, key, root, c)."""
+    """Links between different groups (root) within the buckets of members (band, bucket, key, root, n: shingles)."""
+    groups = C.written(members.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")), "near-mixed-groups")
+    whole = groups.groupBy("band", "bucket").agg(F.max_by(F.struct("root", "c", "n"), F.struct("c", "root")).alias("l"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    blocks = lambda c, n: F.greatest(F.ceil(c / CELL), F.ceil(n / CELL_SHINGLES)).cast("int")
+    whole = C.written(whole.select("band", "bucket", F.col("l.root").alias("largest"), blocks(F.col("c") - F.col("l.c"), F.col("n") - F.col("l.n")).alias("down"), blocks(F.col("c"), F.col("n")).alias("across")), "near-mixed")
     some = _texts_of(members.select("key"), texts)
-    blocks = F.ceil(F.col("c") / CELL).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # a row meets each block of its bucket in one cell
-    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", "bucket", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), "key", "root", F.col("i").alias("side"))
+    placed = members.select("band", "bucket", "key", "root").join(whole, ["band", "bucket"])
+    number = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = placed.withColumn("v", number("across")).withColumn("u", F.explode(every("down"))).withColumn("left", F.lit(False))
+    others = placed.where("root != largest").withColumn("u", number("down")).withColumn("v", F.explode(every("across"))).withColumn("left", F.lit(True))
+    columns = ["band", "bucket", "u", "v", "key", "root", "left"]
+    placed = C.written(rows.select(*columns).unionByName(others.select(*columns)), "near-placed")
     cells = placed.join(some, "key").groupBy("band", "bucket", "u", "v")
-    return C.written(cells.applyInArrow(_cell(least, size), "a long, b long").distinct(), "near-links")
+    found = C.written(cells.applyInArrow(_cell(least, size), "a binary, b binary").distinct(), "near-links")
+    C.removed(some, placed, whole, groups)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,39 +254,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, least: float = LEAST, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, kept for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    signed = C.written(rows.select("key", "text").mapInArrow(_sign(bands, band, size), "key long, n long, s1 long, s2 long, buckets array<long>"), "signed")
+def roots(docs: DataFrame, least: float, size: int, bands: int, band: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, root of each row of docs, written."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("key", C.row_key("doc_id", "text"))
+    texts = rows.select("key", "text")
+    signed = C.written(texts.mapInArrow(_sign(bands, band, size), "key binary, n long, s1 long, s2 long, buckets array<long>"), "signed")
     full = signed.where("n > 0")
     # documents with equal weighted shingles are one class; its smallest key stands for it
-    same = C.written(full.groupBy("s1", "s2").agg(F.min(F.struct("key", "buckets")).alias("one"), F.count(F.lit(1)).alias("c")), "same")
+    same = C.written(full.groupBy("s1", "s2").agg(F.min(F.struct("key", "n", "buckets")).alias("one"), F.count(F.lit(1)).alias("c")), "same")
     members = full.join(same.where("c > 1").select("s1", "s2", F.col("one.key").alias("rep")), ["s1", "s2"]).select("key", "rep")
-    placed = same.select(F.col("one.key").alias("key"), F.posexplode("one.buckets").alias("band", "bucket"))
+    placed = same.select(F.col("one.key").alias("key"), F.col("one.n").alias("n"), F.posexplode("one.buckets").alias("band", "bucket"))
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key")).alias("hub")).where("c > 1")
-    shared = C.written(shared, "near-shared")  # written, so that a hot bucket's join can be split
+    shared = C.written(shared, "near-shared")  # written, as the next ones, so that a hot bucket's join can be split
     inside = C.written(placed.join(shared.select("band", "bucket", F.col("hub.key").alias("hub")), ["band", "bucket"]), "buckets")
     pairs = inside.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    found = links(pairs, rows.select("key", "text"), least, size)
+    found = links(pairs, texts, least, size)
     group = components(found)
     # buckets that still hold several groups
-    now = inside.select("band", "bucket", "key").join(group, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = now.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    now = C.written(now.join(mixed.select("band", "bucket", "c"), ["band", "bucket"]), "mixed")
-    later = mixed_links(now, rows.select("key", "text"), least, size)
+    now = C.written(inside.select("band", "bucket", "key", "n").join(group, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-rooted")
+    mixed = C.written(now.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "bucket"), "near-mixed-buckets")
+    now = C.written(now.join(mixed, ["band", "bucket"]), "mixed")
+    later = mixed_links(now, texts, least, size)
     edges = found.unionByName(later).unionByName(members.where("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b")))
     group = components(edges)
-    ids = C.written(rows.select("doc_id", "key").join(group, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "roots")
-    # a key without words is its row's own group, also where rows repeat
+    # a row without words is its own group, also where rows repeat
+    out = C.written(rows.select("doc_id", "key").join(group, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "roots")
+    C.removed(signed, same, inside, now)
+    return out
+
+
+def near_groups(docs: DataFrame, least: float = LEAST, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size, kept for each row of docs."""
+    ids = roots(docs, least, size, bands, band, id_col, text_col)
     names = C.written(ids.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-names")
     return ids.join(names, "root").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """docs with one document of each group: the one of the smallest id; all columns unchanged."""
-    kept = C.written(near_groups(docs, id_col=id_col, text_col=text_col, **options).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    rows = C.keep_ids(docs, kept.where("n = 1").select("doc_id"), id_col)
-    repeated = kept.where("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        rows = rows.unionByName(C.keep_ids(docs, repeated, id_col).dropDuplicates([id_col, text_col]))
-    return rows
+def keep_first(docs: DataFrame, least: float = LEAST, size: int = SHINGLE, bands: int = BANDS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group, all columns unchanged: the one of the smallest id (nulls last), then key."""
+    ids = roots(docs, least, size, bands, band, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
+    many = C.written(ids.groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", F.col("f.key").alias("first")), "near-first")
+    some = C.written(ids.join(many, "root").select("doc_id", "key", (F.col("key") == F.col("first")).alias("stays")), "near-many")
+    rows = some.groupBy(F.col("doc_id").alias("_i"), F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("c"), F.bool_or("stays").alias("_once"))
+    gone = rows.where("c > 1 or not _once").select("_i", "_k", "_once")
+    return C.without(docs, gone, id_col, C.row_key(F.col(id_col).cast("long"), C.text_or_empty(text_col)))

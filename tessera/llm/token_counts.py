@@ -8,6 +8,9 @@ byte. The vocabulary file of the ``tokenizers`` library is read; encoding runs t
 which is several times faster and gives equal counts (tests compare the two); a text that it refuses goes through
 ``tokenizers`` itself. A special string inside a text is one token, that library's default.
 
+A row whose text is known already is kept from the encoder by an id filter of bounded size and a join of the rows that
+the filter cannot rule out; other texts are not moved.
+
 Defined results. One row per input row, repeated rows included. An empty text has 0 tokens. Further columns are
 ignored. An empty table gives an empty result.
 """
@@ -25,8 +28,6 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Copies are kept from the encoder by a broadcast anti join up to this many rows, by a shuffled join beyond.
-BROADCAST_ROWS = 250_000
 #: Pre-tokenizer of byte-level vocabularies (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -93,24 +94,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     cache = cache or C.scratch(spark, "token-cache")
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = C.written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
-    first = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    todo = C.written(first.join(stored.select("digest"), "digest", "left_anti"), "token-misses")
-    misses = _misses(keyed, keys, first, todo, stored)
-    new = misses.select("digest", "text").mapInArrow(_encode(tokenizer, version), CACHE)
-    new.write.mode("append").parquet(cache)
+    first = C.written(keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "token-digests")
+    known = first.join(stored.select("digest").distinct(), "digest", "left_semi")
+    # rows that need no encoding: of stored digests all, of the others all but the row of the smallest id
+    again = keys.join(first.where("n > 1"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "digest")
+    skip = again.unionByName(keys.join(known.select("digest"), "digest", "left_semi").select("doc_id", "digest")).distinct()
+    misses = C.without(keyed, skip.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_k"), F.lit(False).alias("_once")), "doc_id", F.col("digest"))
+    misses.select("digest", "text").mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     # an id repeated with the same text, or null ids, can bring a digest twice
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = C.written(counts, "token-counts")  # written, so that the join of a hot digest can be split
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def _misses(keyed: DataFrame, keys: DataFrame, first: DataFrame, todo: DataFrame, stored: DataFrame) -> DataFrame:
-    """Texts of the missing digests, one row each as far as ids are unique."""
-    skip = keys.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "digest")
-    skip = C.written(skip.unionByName(keys.join(stored.select("digest"), "digest", "left_semi").select("doc_id", "digest")), "token-skip")
-    s = skip.withColumnsRenamed({"doc_id": "_i", "digest": "_d"})
-    if C.few(skip, BROADCAST_ROWS):  # checked: at most BROADCAST_ROWS rows of 40 bytes
-        return keyed.join(F.broadcast(s), (keyed.digest == s._d) & keyed.doc_id.eqNullSafe(s._i), "left_anti")
-    t = todo.select(F.col("digest").alias("_d"), F.col("first").alias("_i"))
-    return keyed.join(t, (keyed.digest == t._d) & keyed.doc_id.eqNullSafe(t._i), "left_semi")

@@ -27,10 +27,21 @@ def test_edges(spark, make_docs):
     assert [r.doc_id for r in keep_exact(make_docs([(None, "a"), (None, "a")])).collect()] == [None]
 
 
+def test_rows_of_one_id_are_judged_each(spark, make_docs):
+    docs = make_docs([(1, "aaa"), (2, "aaa"), (2, "bbb"), (3, "b b b"), (4, "c"), (4, "c"), (4, "c c"), (None, "d"), (None, "e"), (None, "d")])
+    got = sorted((r.doc_id or 0, r.text) for r in keep_exact(docs).collect())
+    assert got == [(0, "d"), (0, "e"), (1, "aaa"), (3, "b b b"), (4, "c"), (4, "c c")]
+
+
 def test_index_over_batches(spark, make_docs):
     index = DigestIndex(spark)
     index.append(make_docs([(5, "one"), (6, "two")]))
     index.compact()
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(make_docs([(1, "one"), (7, "three")]), index=index).collect()}
-    assert got == {1: (1, 2), 5: (1, 2), 6: (6, 1), 7: (7, 1)}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(make_docs([(1, "one"), (7, "three")]), index=index).collect()}
+    assert got == {1: (1, 2, True), 7: (7, 1, True)}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(make_docs([(8, "t w o"), (9, "one")]), index=index).collect()}
+    assert got == {8: (8, 2, True), 9: (1, 3, False)}
     assert index.lookup(index.entries().where("doc_id = 7").select("digest")).first().keep_id == 7
+    index.append(make_docs([(0, "three")]))
+    assert index.lookup(index.entries().where("doc_id = 7").select("digest")).first().keep_id == 0
+    assert index.lookup(index.entries().select("digest").limit(0)).count() == 0

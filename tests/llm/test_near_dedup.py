@@ -86,3 +86,12 @@ def test_edges(spark, make_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 9, 10]
     assert N.near_groups(make_docs([])).count() == 0 and N.keep_first(make_docs([])).count() == 0
     assert [r.doc_id for r in N.keep_first(make_docs([(3, long), (3, long)])).collect()] == [3]
+    assert N.keep_first(make_docs([(2, long), (2, long + " x"), (2, "other words"), (2, None), (2, None)])).count() == 3
+
+
+def test_cells_of_a_mixed_bucket_lose_no_link(spark, make_docs, monkeypatch):
+    """Blocks of four members: links between groups across cells are the same as in one cell."""
+    monkeypatch.setattr(N, "CELL", 4)
+    docs = dict(enumerate(copies(5, 60, 14)))
+    got = {r.doc_id: r.class_id for r in N.near_groups(make_docs(list(docs.items())), bands=4, band=1).collect()}
+    assert got == groups(docs)
