@@ -7,7 +7,8 @@ license file is one that matches as a whole, whose matched pieces make up most o
 the name of one (LICENSE, COPYING). Files without a license take that of the nearest ancestor directory that holds a
 license file, by a join of their ancestor paths.
 
-Defined results. Null text counts as empty, a null path as a file without directory. One row per input row. Of equal
+Defined results. Null text counts as empty, a null path as a file without directory. One row per input row, with its
+id where ``id_col`` names one (null, negative and repeated ids included); an empty table gives an empty result. Of equal
 cosines the alphabetically first license wins; of several license files in one directory the best cosine, then the
 alphabetically first. Further columns are ignored. The template table has one row per term and license.
 """
@@ -91,13 +92,16 @@ def cosines(pieces: DataFrame, weights: list[tuple[int, str, str, float, float]]
     return found.groupBy(*of).agg(best.alias("b")).select(*of, "b.license", "b.cosine")
 
 
-def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """path, license, cosine, origin (own, inherited or null), license_path for each row of files."""
+def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, path_col: str = "path", text_col: str = "text", id_col: str | None = None) -> DataFrame:
+    """path, license, cosine, origin (own, inherited or null), license_path (and doc_id) for each row of files."""
     full = {} if templates else full_texts()
     templates = templates or TEMPLATES
-    rows = files.select(F.col(path_col).alias("path"), C.text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("path", "text"))
+    doc = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    rows = files.select(doc.alias("doc_id"), F.col(path_col).alias("path"), C.text_or_empty(text_col).alias("text"))
+    # one pass: every row gets a number, texts without a cue are left out; written, so the numbers hold
+    base = C.written(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "path", F.when(F.col("text").rlike(CUES), F.col("text")).alias("text")), "license-rows")
     words = lambda text: F.regexp_count(F.lower(text), F.lit(TERM))
-    cued = rows.where(F.col("text").rlike(CUES)).dropDuplicates(["key"]).withColumn("words", F.greatest(words(F.col("text")), F.lit(1)))
+    cued = base.where("text is not null").withColumn("words", F.greatest(words(F.col("text")), F.lit(1)))
     # pieces of a file: its lines with a cue and their sentences, as other sentences would dilute the notice; then windows
     raw = F.split("text", r"\r\n|\n|\r")
     judged = cued.select("key", "words", "text", raw.alias("raw"), F.transform(raw, lambda x: F.regexp_replace(x, MARKS, "")).alias("plain"))
@@ -126,14 +130,18 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
     rank = F.struct((-F.col("cosine")).alias("c"), "license")
     own = best.groupBy("key").agg(F.min_by(F.struct("license", "cosine"), rank).alias("o"), (F.max("whole") | (F.sum(F.when(~F.col("whole"), F.col("share"))) >= SHARE)).alias("made_up"))
     is_file = (F.col("made_up") | F.col("path").rlike(NAMED)).alias("is_file")
-    named = C.written(rows.select("path", "key").join(own.select("key", "o.license", "o.cosine", "made_up"), "key", "left").select("path", "key", "license", "cosine", is_file), "license-own")
+    own = C.written(own.select("key", "o.license", "o.cosine", "made_up"), "license-of-keys")
+    named = C.written(base.select("key", "doc_id", "path").join(own, "key", "left").select("doc_id", "path", "license", "cosine", is_file), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
     given = named.where("is_file and license is not null and path is not null").select(F.coalesce(folder, F.lit("")).alias("dir"), "license", "cosine", "path").groupBy("dir").agg(F.min_by(F.struct("license", "cosine", F.col("path").alias("license_path")), F.struct((-F.col("cosine")).alias("c"), "license", "path")).alias("g"))
+    given = C.written(given, "license-dirs")  # written, as near is, so that the join of a hot directory can be split
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    bare = named.where("license is null and path is not null").select("key", "path").distinct()
-    near = bare.select("key", "path", F.explode(ups).alias("dir")).join(given, "dir").groupBy("key").agg(F.max_by("g", F.length("dir")).alias("g"))
-    near = near.select(F.col("key").alias("_key"), F.col("g.license").alias("l"), F.col("g.cosine").alias("c"), F.col("g.license_path").alias("p"))
-    out = named.join(near, named.key == near._key, "left")
+    bare = C.written(named.where("license is null and path is not null").select("path").distinct(), "license-bare")
+    near = bare.select("path", F.explode(ups).alias("dir")).join(given, "dir").groupBy("path").agg(F.max_by("g", F.length("dir")).alias("g"))
+    near = C.written(near.select(F.col("path").alias("_path"), F.col("g.license").alias("l"), F.col("g.cosine").alias("c"), F.col("g.license_path").alias("p")), "license-near")
+    out = named.join(near, (named.path == near._path) & named.license.isNull(), "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("l").isNotNull(), "inherited")
-    return out.select("path", F.coalesce("license", "l").alias("license"), F.coalesce("cosine", "c").alias("cosine"), origin.alias("origin"), F.when(F.col("license").isNull(), F.col("p")).alias("license_path"))
+    C.removed(own, given, bare, base)
+    columns = ["path", F.coalesce("license", "l").alias("license"), F.coalesce("cosine", "c").alias("cosine"), origin.alias("origin"), F.when(F.col("license").isNull(), F.col("p")).alias("license_path")]
+    return out.select(*(["doc_id"] if id_col else []), *columns)

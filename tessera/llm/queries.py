@@ -43,9 +43,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.documents(spark, sf_dir).select(source_path().alias("path"), "text")
-    found = license_scan.scan(docs)
-    return found.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("long").alias("doc_id"), "license", "cosine", "origin", "license_path")
+    docs = C.documents(spark, sf_dir).select("doc_id", source_path().alias("path"), "text")
+    return license_scan.scan(docs, id_col="doc_id").drop("path")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
