@@ -2,7 +2,7 @@
 
 Every vector is scaled to unit length, padded with zeros to B >= 256 coordinates, turned by one random rotation and
 reduced to the signs of its coordinates. The index keeps the packed signs, the length, the correction scalar
-c = <signs / sqrt(B), turned vector> and the vector itself, in blocks. For a query q the inner product is estimated as
+c = <signs / sqrt(B), turned vector> and the vector itself (in its own width), in blocks. For a query q the inner product is estimated as
 |o| <signs / sqrt(B), Rq> / c, and it lies within |o| |q| sqrt(1 - c^2) / c * ``deviations`` / sqrt(B - 1) of that,
 except with the chance of a normal value beyond so many deviations. Vectors whose upper bound reaches the best k
 exact scores seen so far are reranked in double precision.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Least bits of a code, and normal deviations of the error bound.
-BITS, DEVIATIONS = 256, 3.0
+BITS, DEVIATIONS = 256, 4.0
 #: Numbers in the vectors of a stored block, and of a cell on either side: the rows of each follow from the dimension.
 BLOCK, CELL_ROWS, CELL_QUERIES = 1 << 17, 1 << 21, 1 << 18
 BLOCKS = "part long, n int, ids binary, codes binary, norms binary, corrections binary, vectors binary"
@@ -61,18 +61,18 @@ def exact(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndar
 def _numbers(column: pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _pack(dim: int, seed: int, block: int):
+def _pack(dim: int, seed: int, block: int, kind: type):
     def row(ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
-        codes, norms, corrections = encode(vectors, turn)
+        codes, norms, corrections = encode(vectors.astype(np.float64), turn)
         part = int.from_bytes(np.random.default_rng([len(ids), *ids[:2].view(np.uint64).tolist()]).bytes(6), "little")
         data = [[part], [len(ids)], *([x.tobytes()] for x in (ids, codes, norms, corrections, vectors))]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "n", "ids", "codes", "norms", "corrections", "vectors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, ids, vectors = rotation(dim, seed), np.zeros(0, np.int64), np.zeros((0, dim))
+        turn, ids, vectors = rotation(dim, seed), np.zeros(0, np.int64), np.zeros((0, dim), kind)
         for b in batches:
             new = _numbers(b.column("vector"), dim)
             keep = np.isfinite(new).all(axis=1) & (new != 0).any(axis=1)
@@ -89,8 +89,10 @@ def _pack(dim: int, seed: int, block: int):
 
 def _unpack(t: pa.Table, dim: int) -> tuple[np.ndarray, ...]:
     kinds = {"ids": np.int64, "codes": np.uint8, "norms": np.float64, "corrections": np.float64, "vectors": np.float64}
+    if t.num_rows and len(t.column("vectors")[0].as_py()) == 4 * dim * t.column("n")[0].as_py():
+        kinds["vectors"] = np.float32
     ids, codes, norms, corr, vectors = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)]) for c, kind in kinds.items())
-    return ids, codes.reshape(len(ids), -1), norms, corr, vectors.reshape(-1, dim)
+    return ids, codes.reshape(len(ids), -1), norms, corr, vectors.reshape(-1, dim).astype(np.float64)
 
 
 def _search(dim: int, seed: int, k: int, deviations: float, step: int = 512):
@@ -108,12 +110,14 @@ def _search(dim: int, seed: int, k: int, deviations: float, step: int = 512):
             turn = rotation(dim, seed)
             ids, codes, norms, corr, vectors = _unpack(rows, dim)
             q_ids, _, q_norms, _, q_vectors = _unpack(asked, dim)
-            bits, turned = len(turn), (q_vectors @ turn.T).astype(np.float32)
+            # estimates are of queries of length 1, in units of the longest vector, so that 32 bits hold them
+            unit = float(2.0 ** np.frexp(norms.max())[1])
+            bits, turned, norms = len(turn), ((q_vectors / q_norms[:, None]) @ turn.T).astype(np.float32), norms / unit
             error = (deviations * np.sqrt(np.maximum(0, 1 - corr**2)) / corr / math.sqrt(bits - 1) * norms + 1e-5 * norms).astype(np.float32)
             scale = (norms / corr / math.sqrt(bits)).astype(np.float32)
             for i in range(0, len(q_ids), step):
                 s = slice(i, i + step)
-                asked_t, size = np.ascontiguousarray(q_vectors[s].T), q_norms[s, None].astype(np.float32)
+                asked_t, size = np.ascontiguousarray(q_vectors[s].T), q_norms[s] * unit
                 found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
                 reach = np.full(len(q_ids[s]), -np.inf)
                 for j in range(0, len(ids), 8192):
@@ -131,8 +135,8 @@ def _search(dim: int, seed: int, k: int, deviations: float, step: int = 512):
                         scores[np.isneginf(np.take_along_axis(estimate, top, 1))] = -np.inf
                         reach = np.maximum(reach, scores.min(axis=1))
                     own = np.isneginf(estimate) if len(both) else None
-                    estimate += size * error[None, c]
-                    near = estimate >= reach[:, None].astype(np.float32) - np.float32(1e-6)
+                    estimate += error[None, c]
+                    near = estimate >= (reach / size)[:, None].astype(np.float32) - np.float32(1e-6)
                     if own is not None:
                         near &= ~own
                     qi, ci = np.nonzero(near)
@@ -153,14 +157,16 @@ def _search(dim: int, seed: int, k: int, deviations: float, step: int = 512):
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("vector"))
     return whole.where("id is not null and size(vector) > 0 and not exists(vector, x -> x is null)")
 
 
 def build_index(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, block: int | None = None) -> DataFrame:
     """The index: one row per block of vectors, written in the shared folder."""
     rows = _usable(vectors, id_col, vec_col).where(F.size("vector") == dim)
-    return C.written(rows.mapInArrow(_pack(dim, seed, block or max(1, BLOCK // dim)), BLOCKS), "one-bit-index")
+    kind = np.float32 if rows.schema["vector"].dataType.simpleString() == "array<float>" else np.float64
+    return C.written(rows.mapInArrow(_pack(dim, seed, block or max(1, BLOCK // dim), kind), BLOCKS), "one-bit-index")
 
 
 def common_dim(vectors: DataFrame, id_col: str, vec_col: str) -> int:
@@ -184,7 +190,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, deviations: float
     if not n or not q:
         return empty
     rows, probes = max(1, CELL_ROWS // dim), max(1, CELL_QUERIES // dim)
-    across, down = math.ceil(n / min(rows, max(rows // 16, n // 8))), math.ceil(q / min(probes, max(probes // 16, q // 4)))
+    across, down = math.ceil(n / min(rows, max(rows // 16, n // 16))), math.ceil(q / probes)
     cells = index.withColumn("g", F.pmod("part", F.lit(across))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     queries_in = asked.withColumn("h", F.pmod("part", F.lit(down)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
     found = cells.groupBy("g", "h").cogroup(queries_in.groupBy("g", "h")).applyInArrow(_search(dim, seed, k, deviations), FOUND)
