@@ -1,14 +1,16 @@
 """Ids of a word-level BPE vocabulary file (lower case, NFC, white space dropped, word ends marked).
 
 The ``tokenizers`` file is read and its merges are run by ``tiktoken``: a marker byte stands for the word end, so that
-the suffix joins the last byte first, as there. Texts with special strings, and units with the marker, go through
-``tokenizers`` itself. Tests compare ids with that library.
+the suffix joins the last byte first, as there. Texts with special strings or with characters that Python's Unicode
+tables do not know (the library's may be newer), and units with the marker, go through ``tokenizers`` itself. Tests
+compare ids with that library, over all code points too.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -35,6 +37,14 @@ def kinds() -> np.ndarray:
     return _kinds[0]
 
 
+@functools.lru_cache(maxsize=1)
+def unknown() -> re.Pattern:
+    """Finds a character that is not assigned in Python's Unicode tables."""
+    known = np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)), bool, 0x110000)
+    edge = np.flatnonzero(np.diff(np.r_[True, known, True]))
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z - 1))}" for a, z in zip(edge[::2], edge[1::2], strict=True)) + "]")
+
+
 def cut(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     if not n:
@@ -128,7 +138,7 @@ class WordBpe:
         out: list[np.ndarray] = []
         for a, b in text_blocks(texts):
             part = texts[a:b]
-            slow = {i for i, t in enumerate(part) if any(s in t for s in self.special)}
+            slow = {i for i, t in enumerate(part) if any(s in t for s in self.special) or not t.isascii() and unknown().search(t)}
             plain = ["" if i in slow else (t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).replace("Σ", "σ").lower() for i, t in enumerate(part)]
             ids, bounds = self.units.ids(plain)
             out += [np.array(self.slow.encode(part[i], add_special_tokens=False).ids, np.int32) if i in slow else ids[bounds[i] : bounds[i + 1]] for i in range(len(part))]

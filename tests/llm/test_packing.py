@@ -77,3 +77,12 @@ def test_plan_places_every_item_once():
 def test_large_items_match_at_most_twice_and_best():
     assert plan({1000: 4, 1048: 4}, 2048)[1] == 4
     assert plan({1400: 3, 700: 3, 648: 3}, 2048)[1] == 6 - 1
+
+
+def test_ids_equal_the_library_for_every_code_point():
+    """Also those that the library's Unicode tables know and Python's do not."""
+    own, lib = WordBpe(PATH), Tokenizer.from_file(PATH)
+    every = [f"x{chr(c)}y {chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000] + ["ab Ᲊ cd Ɤᲊx"]
+    for i in range(0, len(every), 100_000):
+        part = every[i : i + 100_000]
+        assert [x.tolist() for x in own.encode_batch(part)] == [x.ids for x in lib.encode_batch(part, add_special_tokens=False)]
