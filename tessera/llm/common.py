@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: White space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 1000
+
 #: Bits of one row of an id filter (the size of bitmap_construct_agg's result), most rows (16 MiB in all), bits of an id.
 FILTER_ROW, FILTER_ROWS, PROBES = 32768, 4096, 3
 
@@ -51,6 +54,14 @@ def removed(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends whole texts to Python workers in batches of at most BATCH_ROWS rows, as a batch is held in memory on both
+    sides; a session setting that is lowered only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -94,7 +94,7 @@ def _sign(bands: int, band: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("key")
-            for first, end, data, offsets in R.blocks(b.column("text"), 2 * R.CHUNK):
+            for first, end, data, offsets in R.blocks(b.column("text")):
                 rows = end - first
                 row, _, _, h = R.row_words(data, offsets)
                 r, g, w = shingles(row, h, rows, size)
@@ -258,6 +258,7 @@ def roots(docs: DataFrame, least: float, size: int, bands: int, band: int, id_co
     """doc_id, key, root of each row of docs, written."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("key", C.row_key("doc_id", "text"))
     texts = rows.select("key", "text")
+    C.small_batches(docs.sparkSession)
     signed = C.written(texts.mapInArrow(_sign(bands, band, size), "key binary, n long, s1 long, s2 long, buckets array<long>"), "signed")
     full = signed.where("n > 0")
     # documents with equal weighted shingles are one class; its smallest key stands for it

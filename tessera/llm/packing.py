@@ -154,6 +154,7 @@ def _assign(ranges: list[tuple[int, int, int, int, int]]):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The token pieces of every document; with ids, those as little-endian unsigned 32-bit numbers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text"))
+    C.small_batches(docs.sparkSession)
     return rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids), PIECES + ", ids binary" * with_ids)
 
 

@@ -89,7 +89,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) ->
         first = end
 
 
-def text_blocks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def text_blocks(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters."""
     first, size = 0, 0
     for i, t in enumerate(texts):

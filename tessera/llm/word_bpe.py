@@ -37,12 +37,21 @@ def kinds() -> np.ndarray:
     return _kinds[0]
 
 
+#: Finds a character from U+0378 on, the first that is not assigned.
+_BEYOND = re.compile("[^\x00-\u0377]")
+
+
 @functools.lru_cache(maxsize=1)
-def unknown() -> re.Pattern:
-    """Finds a character that is not assigned in Python's Unicode tables."""
-    known = np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)), bool, 0x110000)
-    edge = np.flatnonzero(np.diff(np.r_[True, known, True]))
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z - 1))}" for a, z in zip(edge[::2], edge[1::2], strict=True)) + "]")
+def unassigned() -> np.ndarray:
+    """Which code points Python's Unicode tables do not know."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+def strange(text: str) -> bool:
+    """Whether a text holds a character that Python's Unicode tables do not know."""
+    if text.isascii() or not _BEYOND.search(text):
+        return False
+    return bool(unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
 
 
 def cut(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +147,7 @@ class WordBpe:
         out: list[np.ndarray] = []
         for a, b in text_blocks(texts):
             part = texts[a:b]
-            slow = {i for i, t in enumerate(part) if any(s in t for s in self.special) or not t.isascii() and unknown().search(t)}
+            slow = {i for i, t in enumerate(part) if any(s in t for s in self.special) or strange(t)}
             plain = ["" if i in slow else (t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).replace("Σ", "σ").lower() for i, t in enumerate(part)]
             ids, bounds = self.units.ids(plain)
             out += [np.array(self.slow.encode(part[i], add_special_tokens=False).ids, np.int32) if i in slow else ids[bounds[i] : bounds[i + 1]] for i in range(len(part))]
