@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators.relational import small
+from tessera.scratch import written
+
+#: Rows that meet a query batch in one block of a join, about.
+BLOCK_ROWS = 50_000
 
 
 def knn(df: DataFrame, query: list[float], k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -14,10 +20,11 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "l2", vec: str
     return df.withColumn("distance", V.vector_distance(F.col(vec), V.literal(query), metric)).where("distance is not null").orderBy("distance", id_col).limit(k)
 
 
-def knn_join(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id", blocks: int = 16) -> DataFrame:
-    """query_id, vec_id, distance, rank: the k nearest rows of every query.
+def knn_join(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id", blocks: int | None = None) -> DataFrame:
+    """query_id, vec_id, distance, rank: the k nearest rows of every query. ``blocks``: default by the count of rows.
 
     Queries and rows meet in blocks by an equi-join; each block keeps k rows per query before they are merged."""
+    blocks = blocks or max(4, math.ceil(rows.count() / BLOCK_ROWS))
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     r = rows.select(F.col(id_col), F.col(vec).alias("_v")).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
     pairs = r.join(small(q), "_b").withColumn("distance", V.vector_distance(F.col("_v"), F.col("_q"), metric)).where("distance is not null")
@@ -33,8 +40,8 @@ BOUNDED = {"l2", "euclidean", "manhattan", "l1"}
 class VectorIndex:
     """An inverted-file index: rows belong to the nearest of a bounded number of centroids, a search probes a few.
 
-    Centroids are refined on a sample of at most ``sample`` rows; all rows are indexed. Inserts and deletes keep the
-    index in step. A search probes the nearest cells first, then every further cell that may hold a row as near as the
+    Centroids are refined on a sample of at most ``sample`` rows; all rows are indexed, and their cells are written as
+    folders of the shared folder, so a search reads the cells that it probes. Inserts and deletes keep the index in step. A search probes the nearest cells first, then every further cell that may hold a row as near as the
     k-th found (distance to its centre less its radius), so no neighbour is lost; where the metric has no such bound
     (cosine, inner product), it visits all cells."""
 
@@ -55,18 +62,20 @@ class VectorIndex:
 
     def build(self, df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", rounds: int = 5) -> VectorIndex:
         rows = self._check(df.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("embedding")))
-        sample = rows.orderBy(F.xxhash64("vec_id", F.lit(self.seed))).limit(self.sample)
+        sample = written(rows.orderBy(F.xxhash64("vec_id", F.lit(self.seed))).limit(self.sample), "vector-sample")
         self.centres = [list(map(float, r.embedding)) for r in sample.limit(self.n).collect()]  # at most n rows
         for _ in range(rounds):
             means = self._assign(sample).select("cell", F.posexplode("embedding").alias("j", "x")).groupBy("cell", "j").agg(F.avg("x").alias("m")).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("v"))
             for r in means.collect():  # a row for each centroid
                 self.centres[r.cell] = [x.m for x in r.v]
-        self.cells, self._sizes = self._assign(rows), None
+        self.cells, self._sizes = written(self._assign(rows) if self.centres else rows.withColumn("cell", F.lit(0)), "vector-cells", "cell"), None
+        self.centres = self.centres or [[0.0] * self.dim]
         return self
 
-    def insert(self, df: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> None:
+    def insert(self, df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", checked: bool = False) -> None:
+        """Adds rows; ``checked``: their ids are known to be new."""
         new = self._check(df.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("embedding")))
-        if new.join(self.cells, "vec_id", "left_semi").limit(1).count() or new.groupBy("vec_id").count().where("count > 1").limit(1).count():
+        if not checked and (new.join(self.cells, "vec_id", "left_semi").limit(1).count() or new.groupBy("vec_id").count().where("count > 1").limit(1).count()):
             raise ValueError("duplicate id")
         self.cells, self._sizes = self.cells.unionByName(self._assign(new)), None
 

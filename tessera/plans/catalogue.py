@@ -11,7 +11,7 @@ from tessera.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("scans", "scalars", "joins", "sets", "aggregates", "windows", "ordering", "subqueries", "vector_queries", "changes", "flagship", "streams")
+MODULES = ("scans", "scalars", "joins", "sets", "aggregates", "windows", "ordering", "subqueries", "vector_queries", "changes", "flagship", "streams", "dialect_queries")
 
 
 def query(sql: str | None = None):

@@ -53,9 +53,12 @@ def dump_sql(name: str, df: DataFrame) -> Iterator[str]:
         yield f"INSERT INTO {name} VALUES ({', '.join(map(sql_literal, row))});"
 
 
-def render(df: DataFrame, kind: str = "table", limit: int = 1000) -> str:
-    """The first rows as table, json, csv, raw (tabs) or expanded text."""
-    rows, names = df.limit(limit).collect(), df.columns
+def render(df: DataFrame, kind: str = "table", limit: int | None = None) -> str:
+    """The rows as table, json, csv, raw (tabs) or expanded text for a person to read: all of them, fetched a
+    partition at a time, or the first ``limit`` rows, which a table's last line then says. Use ``write`` for files."""
+    rows, names = list(df.toLocalIterator()) if limit is None else df.limit(limit + 1).collect(), df.columns
+    more = limit is not None and len(rows) > limit
+    rows = rows[:limit]
     if kind == "json":
         return json.dumps([r.asDict(recursive=True) for r in rows], default=str)
     if kind == "csv":
@@ -76,7 +79,13 @@ def render(df: DataFrame, kind: str = "table", limit: int = 1000) -> str:
         raise ValueError(f"unknown format: {kind}")
     sizes = [max(len(n), *(len(r[i]) for r in text)) if text else len(n) for i, n in enumerate(names)]
     line = lambda cells: " | ".join(f"{c:<{s}}" for c, s in zip(cells, sizes, strict=True)).rstrip()
-    return "\n".join([line(names), "-+-".join("-" * s for s in sizes), *map(line, text), f"({len(rows)} rows)"])
+    return "\n".join([line(names), "-+-".join("-" * s for s in sizes), *map(line, text), f"(first {len(rows)} rows)" if more else f"({len(rows)} rows)"])
+
+
+def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
+    """Source in any of Spark's file formats (parquet, csv, json, orc, text) or connectors (jdbc, kafka)."""
+    reader = spark.read.format(kind).options(**options)
+    return (reader.schema(schema) if schema else reader).load(*([path] if path else []))
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", **options: str) -> None:

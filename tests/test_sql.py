@@ -108,3 +108,62 @@ def test_dump_and_formats(s):
     assert render(df, "csv") == "id,name\n1,O'Neil\n2,\n"
     assert render(df, "raw") == "1\tO'Neil\n2\tNULL"
     assert "(2 rows)" in render(df) and "RECORD 2" in render(df, "expanded") and '"id": 1' in render(df, "json")
+
+
+def test_tokens_keep_strings_names_comments_and_hints_apart():
+    from tessera.dialect import pieces, to_spark
+
+    text = """SELECT 'a;b--c' AS "x;y" -- d; e
+        , /* f; */ 1; SELECT /*+ MERGE(t) */ 2"""
+    assert list(pieces(text, ";")) == ["""SELECT 'a;b--c' AS "x;y" , 1""", "SELECT /*+ MERGE(t) */ 2"]
+    assert to_spark("SELECT v FROM (SELECT v FROM t ORDER BY v DESC LIMIT 1) x ORDER BY sum(v) OVER (ORDER BY v), 2 NULLS FIRST") == "SELECT v FROM(SELECT v FROM t ORDER BY v DESC NULLS FIRST LIMIT 1) x ORDER BY sum(v) OVER(ORDER BY v NULLS LAST ) NULLS LAST, 2 NULLS FIRST"
+    with pytest.raises(ValueError):
+        list(pieces("SELECT 'open", ";"))
+
+
+def test_dialect_scalars(s):
+    row = s.execute("""SELECT 7/2, -7/2, 7/2.0, (7/2)/2, concat('a', NULL, 'b', 3), substr('hello', -2), substr('hello', 0, 2), split_part('a,b', ',', 0), split_part('a,b', ',', 9),
+        extract(dow FROM DATE '2026-11-25'), 'a\\b', '7' ~ '^\\d$', CAST(5 AS TEXT), 5::text, btrim(E'\\t x \\n'), string_agg(x, '-' ORDER BY x DESC) FROM VALUES ('p'), ('q') t(x)""").first()
+    assert tuple(row) == (3, -3, 3.5, 1, "ab3", "", "he", "a", "", 3, "a\\b", True, "5", "5", "x", "q-p")
+    for bad in ("SELECT sqrt(-1)", "SELECT 1/0", "SELECT nextval('nothing')"):
+        with pytest.raises(Exception):
+            s.execute(bad).collect()
+
+
+def test_nulls_come_last_in_every_scope(s):
+    s.execute("CREATE TABLE n (id INT PRIMARY KEY, v INT); INSERT INTO n VALUES (1, NULL), (2, 10), (3, 20)")
+    assert got(s.execute("SELECT * FROM (SELECT v FROM n ORDER BY v LIMIT 1) x")) == [(10,)]
+    assert sorted(got(s.execute("SELECT id, row_number() OVER (ORDER BY v) FROM n"))) == [(1, 3), (2, 1), (3, 2)]
+    assert got(s.execute("SELECT v FROM n UNION ALL SELECT v FROM n WHERE id = 1 ORDER BY v DESC LIMIT 3")) == [(None,), (None,), (20,)]
+
+
+def test_sequences_count_rows_and_ddl_rolls_back(s):
+    s.execute("CREATE SEQUENCE q; CREATE TABLE a (id INT PRIMARY KEY DEFAULT nextval('q'), v INT); INSERT INTO a (v) VALUES (7), (8), (9); INSERT INTO a (v) VALUES (1)")
+    assert sorted(r[0] for r in got(s.execute("SELECT id FROM a"))) == [1, 2, 3, 4] and got(s.execute("SELECT currval('q')")) == [(4,)]
+    s.execute("INSERT INTO a VALUES (nextval('q'), 0), (nextval('q'), 0)")
+    assert {r[0] for r in got(s.execute("SELECT id FROM a WHERE v = 0"))} == {5, 6}
+    s.execute("BEGIN; ALTER TABLE a ADD COLUMN x INT; CREATE UNIQUE INDEX u ON a (x); ROLLBACK; INSERT INTO a (v) VALUES (3)")
+    assert s.execute("SELECT * FROM a").columns == ["id", "v"] == s.db.meta["a"].schema.names and not s.db.meta["a"].unique
+
+
+def test_vector_index_follows_changes_and_rollback(s):
+    s.execute("CREATE TABLE v (id INT PRIMARY KEY, e VECTOR(3)); INSERT INTO v VALUES (1, '[1,0,0]'), (2, '[0,1,0]'), (3, '[0,0,1]'), (4, NULL)")
+    s.execute("CREATE INDEX i ON v USING hnsw (e)")
+    ids = lambda: [r[0] for r in got(s.nearest("i", [1.0, 0.1, 0.0], 10))]
+    assert ids() == [1, 2, 3]
+    s.execute("BEGIN; DELETE FROM v WHERE id = 2; INSERT INTO v VALUES (5, '[1,0.1,0]')")
+    assert ids() == [5, 1, 3]
+    s.execute("ROLLBACK; UPDATE v SET e = '[9,9,9]'::vector WHERE id = 1")
+    assert ids() == [2, 3, 1]
+    s.execute("TRUNCATE v")
+    assert ids() == []
+    s.execute("DROP INDEX i")
+    with pytest.raises(KeyError):
+        s.nearest("i", [1.0, 0.0, 0.0], 1)
+
+
+def test_merge_hint_reaches_the_plan(spark, sf):
+    from tessera.plans import catalogue
+
+    plan = catalogue.queries()["merge_join_sort_aggregate"](spark, sf)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "SortAggregate" in plan
