@@ -116,7 +116,11 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ind
     index.append(docs, id_col, text_col)
     level, entries = index.compact(), index.entries(last=True)
     resolved = entries.join(level, "digest")
-    touched = C.written(resolved.where("group_size > 1").groupBy("digest", "keep_id", "keep_points").agg(F.count(F.lit(1)).alias("n")), "touched")
+    # groups of several rows that this batch has rows of; one row a digest and task before the shuffle
+    touched = level.where("group_size > 1")
+    if len(index.batches) > 1:
+        touched = touched.join(entries.select("digest").distinct(), "digest", "left_semi")
+    touched = C.written(touched, "touched")
     if not touched.limit(1).count():
         return resolved
     hits = C.written(index.entries().join(touched.select("digest"), "digest").select("doc_id"), "hits")
