@@ -2,26 +2,31 @@
 
 A window is ``width`` consecutive words. Each window is represented by the smallest hash among its grams of ``gram``
 words (leftmost of equals), so equal windows have the same representative at the same place. Consecutive windows with
-one representative form a block. A batch's fingerprints (representative, digest of the block's words) are one sorted,
-immutable run; runs of all batches are merge-joined by representative, and runs are compacted into one.
+one representative form a block. The fingerprints of appended documents (representative, digest of the block's words)
+are sorted, immutable runs. Level 1 holds the representatives of all merged runs with their counts, sorted; a new run
+is merged into it by one aggregation, which also tells the run's representatives that occur elsewhere. Only their
+blocks, of this and of earlier runs, are judged:
 
-1. Representatives that occur once leave at once: none of their windows can repeat.
+1. Representatives that occur once leave at once: none of their windows can repeat. A filter of bounded size keeps
+   most of their blocks out of every shuffle.
 2. A block whose words (128-bit digest) occur twice repeats as a whole: all its windows are marked, none is emitted.
 3. Of the rest, every window is emitted with a digest of its words; so are the windows of one copy of each block that
    repeats beside them. Windows with equal digests repeat.
 4. Words under marked windows go.
 
 The digests cover the words themselves (BLAKE2b, 16 bytes), which verifies what the fingerprints suggest. No bucket
-is capped and no group of copies is expanded into pairs.
+is capped and no group of copies is expanded into pairs. Marks of earlier batches grow as later ones repeat them.
 
 Defined results. Null text has no words. Rows that repeat both id and text count as two documents, so each repeats
-the other. Texts of fewer than ``width`` words lose nothing. Further columns are ignored.
+the other; rows are told apart by 128 bits of id and text. Texts of fewer than ``width`` words lose nothing, texts of
+any length are read whole. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,10 @@ from . import common as C
 from . import rolling as R
 
 WIDTH, GRAM = 35, 8
-RUN = "rep long, block binary, key long, at int, n int"
-BROADCAST_KEYS = 250_000
+RUN = "rep long, block binary, key binary, at int, n int"
+LEVEL, MARKS = "rep long, c long", "key binary, at int, n int"
+#: Runs that the files of one append are dealt to.
+RUNS = 3
 
 
 def _gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
@@ -94,7 +101,7 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 def _fingerprint(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False)
+            keys = b.column("key")
             for first, end, data, offsets in R.blocks(b.column("text"), R.CHUNK):
                 row, s, e, h = R.row_words(data, offsets)
                 at = np.searchsorted(row, np.arange(end - first + 1))
@@ -108,11 +115,11 @@ def _fingerprint(width: int, gram: int):
                     lo, hi = w.start[start], w.end[start + n - 1 + width - 1]
                     out[0].append(rep)
                     out[1] += [_digest(w.data[x:y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                    out[2].append(np.full(len(rep), keys[first + i]))
+                    out[2].append(pa.array([keys[first + i].as_py()] * len(rep), pa.binary()))
                     out[3].append(start)
                     out[4].append(n)
                 if out[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]), pa.int32()), pa.array(np.concatenate(out[4]), pa.int32())], ["rep", "block", "key", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.concat_arrays(out[2]), pa.array(np.concatenate(out[3]), pa.int32()), pa.array(np.concatenate(out[4]), pa.int32())], ["rep", "block", "key", "at", "n"])
 
     return run
 
@@ -120,14 +127,13 @@ def _fingerprint(width: int, gram: int):
 def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False)
-            ranges = b.column("ranges")
+            keys, ranges = b.column("key"), b.column("ranges")
             for i, text in _texts(b):
                 w = _Words(text)
                 starts = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in ranges[i].as_py()]))
                 lo, hi = w.start[starts].tolist(), w.end[starts + width - 1].tolist()
                 digests = [_digest(w.data[x:y]) for x, y in zip(lo, hi, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(starts), keys[i])), pa.array(starts, pa.int32())], ["window", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([keys[i].as_py()] * len(starts), pa.binary()), pa.array(starts, pa.int32())], ["window", "key", "at"])
 
     return run
 
@@ -163,70 +169,90 @@ def _remove(width: int, with_text: bool):
 
 
 class WindowIndex:
-    """Append batches of documents; ``removed(batch)`` judges a batch against all batches, its own included."""
+    """Append batches of documents; ``merge()`` judges their runs against all merged ones and compacts; ``removed()``
+    gives the documents without repeated words, judged against all batches. The documents must stay readable."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, gram: int = GRAM):
         self.spark, self.path, self.width, self.gram = spark, path or C.scratch(spark, "window-index"), width, gram
         self.runs: list[str] = []
+        self.pending: list[str] = []
+        self.marks_at: list[str] = []
+        self.level1: str | None = None
         self.batches: list[DataFrame] = []
         self.n = 0
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Write the batch's run. The documents must stay readable; their number in the index is returned."""
-        rows = docs.select(F.col(id_col).alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-        out = f"{self.path}/run={self.n}"
-        rows.select("key", "text").mapInArrow(_fingerprint(self.width, self.gram), RUN).sortWithinPartitions("rep").write.parquet(out)
-        self.runs.append(out)
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 1) -> int:
+        """Write the batch's runs: each scanning task writes one sorted file, the files are dealt to runs. The batch's
+        number is returned."""
+        C.small_batches(self.spark)
+        rows = docs.select(F.col(id_col).alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("key", C.row_key("doc_id", "text"))
+        out = f"{self.path}/batch={len(self.batches)}"
+        found = rows.select("key", "text").mapInArrow(_fingerprint(self.width, self.gram), RUN)
+        found = found.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs))).sortWithinPartitions("run", "rep")
+        found.write.partitionBy("run").parquet(out)
+        some = self.spark.read.schema(RUN + ", run int").parquet(out).select("run").distinct().collect()  # at most ``runs``
+        self.pending += [f"{out}/run={r.run}" for r in sorted(some)]
         self.batches.append(rows)
-        self.n += 1
         return len(self.batches) - 1
 
-    def run_rows(self) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*self.runs)
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def merge(self) -> None:
+        """Merge the pending runs into level 1, one after the other, and mark what repeats through them."""
+        while self.pending:
+            path = self.pending.pop(0)
+            new = self._read(RUN, [path]).groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
+            old = self._read(LEVEL, [self.level1] if self.level1 else [])
+            both = old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
+            both = both.groupBy("rep").agg(F.sum("c").alias("c"), F.bool_or("new").alias("new"))
+            out = f"{self.path}/level1={self.n}"
+            both.sortWithinPartitions("rep").write.parquet(out)
+            if self.level1:
+                C.removed(old)
+            self.level1, self.n = out, self.n + 1
+            self.runs.append(path)
+            touched = self._read(LEVEL + ", new boolean", [out]).where("new and c > 1").select("rep")
+            marks = f"{self.path}/marks={self.n}"
+            self._judge(touched).write.parquet(marks)
+            self.marks_at.append(marks)
+
+    def _judge(self, reps: DataFrame) -> DataFrame:
+        """key, at, n: windows that repeat, of the representatives in ``reps`` (a written table)."""
+        shared = C.written(C.semi(self._read(RUN, self.runs), reps, "rep"), "shared-blocks")
+        blocks = C.written(shared.groupBy("rep", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "at", "n")).alias("one")), "blocks")
+        whole = shared.join(blocks.where("copies > 1").select("rep", "block"), ["rep", "block"], "left_semi").select("key", "at", "n")
+        # blocks that occur once beside others of their representative, and one copy of each repeated block beside them
+        alone = F.sum(F.when(F.col("copies") == 1, 1).otherwise(0))
+        mixed = C.written(blocks.groupBy("rep").agg(F.count(F.lit(1)).alias("kinds"), alone.alias("alone")).where("kinds > 1 and alone > 0").select("rep"), "mixed-reps")
+        work = blocks.join(mixed, "rep").select("one.*").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+        work = C.written(work, "open-blocks")
+        texts = C.semi(self.texts(), work, "key").select("key", "text", "ranges")
+        windows = C.written(texts.mapInArrow(_windows(self.width), "window binary, key binary, at int"), "windows")
+        twice = C.written(windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window"), "repeated-windows")
+        found = C.semi(windows, twice, "window").select("key", "at", F.lit(1).alias("n"))
+        return whole.unionByName(found)
 
-    def compact(self, parts: int = 64) -> None:
-        """Merge all runs into one that is sorted by representative in ranges."""
-        out = f"{self.path}/level1={self.n}"
-        self.run_rows().repartitionByRange(parts, "rep", "key").sortWithinPartitions("rep").write.parquet(out)
-        self.runs, self.n = [out], self.n + 1
+    def texts(self) -> DataFrame:
+        """key, text of all batches; rows that repeat come as often as they are."""
+        return reduce(DataFrame.unionByName, [rows.select("key", "text") for rows in self.batches])
 
     def marks(self) -> DataFrame:
         """key, at, n: runs of windows that occur elsewhere too."""
-        run = self.run_rows()
-        often = run.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep")
-        shared = C.written(run.join(often, "rep"), "shared-blocks")
-        blocks = shared.groupBy("rep", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "at", "n")).alias("one"))
-        blocks = C.written(blocks, "blocks")
-        whole = shared.join(blocks.where("copies > 1").select("rep", "block"), ["rep", "block"], "left_semi").select("key", "at", "n")
-        open_reps = blocks.where("copies = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("c")).select("rep")
-        # alone: blocks that occur once; and one copy of each repeated block beside them
-        work = blocks.where("copies = 1").unionByName(blocks.where("copies > 1").join(open_reps, "rep", "left_semi"))
-        work = work.join(blocks.groupBy("rep").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("rep"), "rep", "left_semi")
-        work = C.written(work.select("one.*").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("ranges")), "open-blocks")
-        texts = self._texts_of(work)
-        windows = C.written(texts.select("key", "text", "ranges").mapInArrow(_windows(self.width), "window binary, key long, at int"), "windows")
-        twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window")
-        found = windows.join(twice, "window", "left_semi").select("key", "at", F.lit(1).alias("n"))
-        return whole.unionByName(found)
-
-    def _texts_of(self, work: DataFrame) -> DataFrame:
-        """Texts of the keys in ``work``, with its columns."""
-        rows = self.batches[0]
-        for more in self.batches[1:]:
-            rows = rows.unionByName(more)
-        if C.few(work, BROADCAST_KEYS):  # checked: so many keys of 8 bytes at most; the ranges are joined by a shuffle
-            rows = rows.join(F.broadcast(work.select("key")), "key", "left_semi")
-        return rows.join(work, "key")
+        self.merge()
+        return self._read(MARKS, self.marks_at)
 
     def removed(self, batch: int = 0, with_text: bool = False) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for each document of a batch."""
-        marks = C.written(self.marks().groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marks")
-        rows = self.batches[batch].join(marks, "key", "left").select("doc_id", "text", "marks")
+        """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for each document of a batch. Texts without a mark
+        are not moved."""
+        marks = C.written(self.marks().groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("marks")), "marks")
+        maybe, sure = C.dealt(self.batches[batch], C.IdFilter(marks, "key"), F.col("key"))
+        none = F.lit(None).cast(marks.schema["marks"].dataType)
+        rows = maybe.join(marks, "key", "left").select("doc_id", "text", "marks").unionByName(sure.select("doc_id", "text", none.alias("marks")))
         kind = self.batches[batch].schema["doc_id"].dataType.simpleString()
         return rows.mapInArrow(_remove(self.width, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     index = WindowIndex(docs.sparkSession, width=width, gram=min(GRAM, width))
-    index.append(docs, id_col, text_col)
-    return index.removed(0, with_text)
+    return index.removed(index.append(docs, id_col, text_col, RUNS), with_text)

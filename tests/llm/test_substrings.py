@@ -48,7 +48,7 @@ def test_batches_and_compaction(spark, make_docs):
     index = WindowIndex(spark, width=10, gram=5)
     index.append(make_docs(texts[:30]))
     index.append(make_docs(texts[30:50]))
-    index.compact()
+    index.merge()
     last = index.append(make_docs(texts[50:]))
     want = brute(dict(texts), 10)
     for batch, part in ((last, texts[50:]), (0, texts[:30])):
@@ -61,3 +61,12 @@ def test_repeated_rows_and_empty(spark, make_docs):
     got = sorted((r.doc_id or -1, r.n_removed) for r in remove_repeats(make_docs([(1, long), (1, long), (None, "a b"), (2, "c")])).collect())
     assert got == [(-1, 0), (1, 50), (1, 50), (2, 0)]
     assert remove_repeats(make_docs([])).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark, make_docs):
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 10**7)}" for _ in range(60_000)]
+    texts = [" ".join(words), "x " + " ".join(words[30_000:30_100]), "y" * 300_000, "z " * 40_000]
+    docs = make_docs(texts).withColumn("rep", F.lit(1)).withColumn("at", F.lit(2)).withColumn("window", F.lit("w"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert got == brute(dict(enumerate(texts)), 35)
