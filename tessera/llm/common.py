@@ -95,7 +95,10 @@ class IdFilter:
         row, bits = self._places(F.col(column))
         places = ids.select(row.alias("_row"), F.explode(F.array(*(b.cast("long") for b in bits))).alias("_bit"))
         maps = places.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-        self.table = written(maps, "id-filter")
+        # as 64-bit words, whose bits are read without making strings
+        word = lambda i: F.conv(F.hex(F.substring(F.col("_map"), i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+        words = maps.select("_row", F.transform(F.sequence(F.lit(0), F.lit(FILTER_ROW // 64 - 1)), word).alias("_map"))
+        self.table = written(words, "id-filter")
 
     def _places(self, column: Column) -> tuple[Column, list[Column]]:
         h = F.xxhash64(F.lit("bit"), column)
@@ -106,8 +109,8 @@ class IdFilter:
         row, bits = self._places(column)
         r, m = fresh(docs, "_filter_row"), fresh(docs, "_filter_map")
         table = self.table.select(F.col("_row").alias(r), F.col("_map").alias(m))
-        byte = lambda bit: F.conv(F.hex(F.substring(F.col(m), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = reduce(lambda x, y: x & y, [F.getbit(byte(bit), bit % 8) == 1 for bit in bits])
+        place = lambda bit: (7 - F.shiftright(bit, 3).bitwiseAND(7)) * 8 + bit.bitwiseAND(7)
+        hit = reduce(lambda x, y: x & y, [F.getbit(F.get(F.col(m), F.shiftright(bit, 6)), place(bit)) == 1 for bit in bits])
         return docs.withColumn(r, row).join(F.broadcast(table), r, "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop(r, m)
 
 
