@@ -14,7 +14,8 @@ sixteen at a time from the left, as the library does. Characters outside the voc
 Other documents are cut before each word's space mark, which no piece crosses, and distinct words are encoded once by
 the library. Tests compare both ways with the library on whole texts.
 
-Defined results. Null text counts as empty and has no pieces. One row per input row. Further columns are ignored.
+Defined results. Null text counts as empty and has no pieces. One row per input row, repeated rows included; giants are
+told apart by 128 bits of id and text. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -243,7 +244,9 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
 
 # --- DataFrame ---------------------------------------------------------------------------------------------------
 
-CHUNKS = "key long, k int, text string, a int, z int"
+CHUNKS = "key binary, k int, text string, a int, z int"
+#: Chunks of a task, as each takes about a tenth of a second.
+CHUNKS_A_TASK = 32
 
 
 def _chunks(size: int, around: int):
@@ -255,7 +258,7 @@ def _chunks(size: int, around: int):
                 lo = [max(0, c - around) for c in cuts[:-1]]
                 part = [t[x : z + around] for x, z in zip(lo, cuts[1:], strict=True)]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(part), pa.array([c - x for c, x in zip(cuts[:-1], lo, strict=True)], pa.int32()), pa.array([c - x for c, x in zip(cuts[1:], lo, strict=True)], pa.int32())], ["key", "k", "text", "a", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(part), pa.array([c - x for c, x in zip(cuts[:-1], lo, strict=True)], pa.int32()), pa.array([c - x for c, x in zip(cuts[1:], lo, strict=True)], pa.int32())], ["key", "k", "text", "a", "z"])
 
     return run
 
@@ -323,21 +326,25 @@ def _encode(model: str, giant: bool, full: bool):
 
 
 def giant_ids(rows: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """key, ids of each document in rows (key, text), by the max-plus scan."""
+    """key, ids of each document in rows (key, text), by the max-plus scan. Chunks are few bytes but much work, so
+    their tasks are counted by chunks."""
     around = codec_of(model).longest
-    chunks = C.written(rows.mapInArrow(_chunks(chunk, around), CHUNKS).repartition(F.col("key"), F.col("k")), "piece-chunks")
-    matrices = C.written(chunks.mapInArrow(_transfers(model), "key long, k int, rows int, matrix binary"), "piece-transfers")
-    states = matrices.groupBy("key").applyInArrow(_states, "key long, k int, first int, last int")
-    traced = chunks.join(states, ["key", "k"]).mapInArrow(_traces(model), "key long, k int, ids array<int>")
-    return traced.groupBy("key").applyInArrow(_gather(model), "key long, ids array<int>")
+    size = rows.agg(F.coalesce(F.sum(F.ceil((F.length("text") + 1) / chunk)), F.lit(0))).first()[0]
+    tasks = max(1, -(-int(size) // CHUNKS_A_TASK))
+    chunks = C.written(rows.mapInArrow(_chunks(chunk, around), CHUNKS).repartition(tasks, "key", "k"), "piece-chunks")
+    matrices = C.written(chunks.mapInArrow(_transfers(model), "key binary, k int, rows int, matrix binary"), "piece-transfers")
+    states = matrices.groupBy("key").applyInArrow(_states, "key binary, k int, first int, last int")
+    traced = chunks.join(states, ["key", "k"]).repartition(tasks, "key", "k").mapInArrow(_traces(model), "key binary, k int, ids array<int>")
+    return traced.groupBy("key").applyInArrow(_gather(model), "key binary, ids array<int>")
 
 
 def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK, full: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip (decoding gives the text back); with ``full`` also ids and decoded."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text"))
+    C.small_batches(docs.sparkSession)
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>, decoded string" * full
     usual = rows.where(F.length("text") <= giant).mapInArrow(_encode(model, False, full), schema)
-    large = C.written(rows.where(F.length("text") > giant).withColumn("key", F.xxhash64("doc_id", "text")), "giants")
+    large = C.written(rows.where(F.length("text") > giant).withColumn("key", C.row_key("doc_id", "text")), "giants")
     if not large.limit(1).count():
         return usual
     ids = giant_ids(large.select("key", "text").dropDuplicates(["key"]), model, chunk)

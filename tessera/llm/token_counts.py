@@ -94,6 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     cache = cache or C.scratch(spark, "token-cache")
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version)
+    C.small_batches(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = C.written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
     first = C.written(keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "token-digests")

@@ -56,3 +56,14 @@ def test_unusable_rows_of_a_repeated_id_do_not_hide_its_vector(spark):
     rows += [(20, []), (40, [None, 1.0]), (60, [0.0, 0.0]), (80, [-9.0]), (100, [float("-inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {r.query_id for r in nearest(df, F.col("vec_id") % 20 == 0).collect()} == {0, 20, 40, 60, 80, 100}
+
+
+@pytest.mark.parametrize("size", [1e37, 1e-30])
+def test_vectors_whose_squares_overflow_32_bits(spark, size):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x * size)) for x in rng.standard_normal(16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(nearest(df, F.col("vec_id") % 20 == 0).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute([(i, [np.float32(x) for x in v]) for i, v in rows])

@@ -95,3 +95,38 @@ def test_cells_of_a_mixed_bucket_lose_no_link(spark, make_docs, monkeypatch):
     docs = dict(enumerate(copies(5, 60, 14)))
     got = {r.doc_id: r.class_id for r in N.near_groups(make_docs(list(docs.items())), bands=4, band=1).collect()}
     assert got == groups(docs)
+
+
+def true_pairs(texts, least=0.8):
+    """All pairs of ids whose similarity is ``least`` or more, over one inverted index of all shingles; documents of
+    equal shingles are compared once and linked in a row."""
+    first, same, sets = {}, [], {}
+    for i, t in texts.items():
+        h, w = N._weights((t or "").encode(), 5)
+        if len(h):
+            key = (h.tobytes(), w.tobytes())
+            if key in first:
+                same.append((first[key], i))
+            else:
+                first[key], sets[i] = i, (h, w)
+    ids = list(sets)
+    owner = np.repeat(np.arange(len(ids)), [len(sets[i][0]) for i in ids])
+    order = np.argsort(every := np.concatenate([sets[i][0] for i in ids]), kind="stable")
+    every, owner = every[order], owner[order]
+    share = np.concatenate([sets[i][1] / sets[i][1].sum() for i in ids])[order]
+    out = []
+    for x, i in enumerate(ids):
+        h, w = sets[i]
+        lo, hi = np.searchsorted(every, h, "left"), np.searchsorted(every, h, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        bound = np.minimum(np.bincount(owner[at], np.repeat(w / w.sum(), n), len(ids)), np.bincount(owner[at], share[at], len(ids)))
+        out += [(i, ids[y]) for y in np.flatnonzero(bound >= least - 1e-9) if y > x and N.jaccard(sets[i], sets[ids[y]]) >= least]
+    return out + same
+
+
+def test_recall_of_all_true_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pairs = true_pairs({r.doc_id: r.text for r in docs.collect()})
+    group = {r.doc_id: r.class_id for r in N.near_groups(docs).collect()}
+    assert len(pairs) > 50 and sum(group[a] == group[b] for a, b in pairs) / len(pairs) >= 0.99

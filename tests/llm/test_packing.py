@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.packing import pack, plan
@@ -86,3 +87,10 @@ def test_ids_equal_the_library_for_every_code_point():
     for i in range(0, len(every), 100_000):
         part = every[i : i + 100_000]
         assert [x.tolist() for x in own.encode_batch(part)] == [x.ids for x in lib.encode_batch(part, add_special_tokens=False)]
+
+
+def test_clashing_columns_nulls_and_repeats(spark, make_docs):
+    docs = make_docs([(1, "a b"), (1, "a b"), (None, None), (2, "")]).withColumn("piece", F.lit("p")).withColumn("length", F.lit(9)).withColumn("offset", F.lit("o")).withColumn("_salt", F.lit(1))
+    got = pack(docs, PATH).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (1, 3), (1, 3), (2, 1)] and check(got, 2048) == 1
+    assert pack(docs.limit(0), PATH).count() == 0

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tessera.llm import piece_codec as P
 
@@ -44,3 +45,9 @@ def test_scan_is_associative():
 def test_empty_and_repeats(spark, make_docs):
     assert P.encode(make_docs([]), PATH).count() == 0
     assert P.encode(make_docs([(1, "ab " * 50), (1, "ab " * 50), (None, "c")]), PATH, giant=60, chunk=64).count() == 3
+
+
+def test_clashing_columns(spark, make_docs):
+    docs = make_docs([(1, "ab " * 50), (2, "c"), (None, None)]).withColumn("key", F.lit("k")).withColumn("ids", F.lit(1)).withColumn("n_pieces", F.lit("n"))
+    rows = P.encode(docs, PATH, giant=60, chunk=64).collect()
+    assert sorted((r.doc_id or 0, r.round_trip) for r in rows) == [(0, True), (1, True), (2, True)]
