@@ -190,13 +190,14 @@ class _Parts:
 
 def _cell(least: float, size: int):
     def run(t: pa.Table) -> pa.Table:
-        # a block of members outside the largest group (left), and a block of all members
+        # a block of members outside the largest group (left) and a block of all members (right); of a bucket that is
+        # one cell, every row is right and some are left too
         t = t.sort_by("key")
-        keys, left = t.column("key").to_pylist(), t.column("left").to_numpy()
+        keys, left, on_right = t.column("key").to_pylist(), t.column("left").to_numpy(), t.column("right").to_numpy()
         roots = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         sets = [_weights(x.as_py() or b"", size) for x in t.column("text").cast(pa.large_binary())]
         share = [w / max(w.sum(), 1) for _, w in sets]
-        right = np.flatnonzero(~left)
+        right, both, place = np.flatnonzero(on_right), left & on_right, np.arange(len(left))
         out, parts = [], _Parts(int(roots.max()) + 1)
         if len(right):
             owner = np.repeat(right, [len(sets[i][0]) for i in right])
@@ -209,7 +210,7 @@ def _cell(least: float, size: int):
                 # J is at most the common elements' share in either document
                 mine = np.bincount(owner[at], np.repeat(share[x], n), len(sets))
                 theirs = np.bincount(owner[at], part[at], len(sets))
-                near = (np.minimum(mine, theirs) >= least - 1e-9) & (roots != roots[x]) & ~left
+                near = (np.minimum(mine, theirs) >= least - 1e-9) & (roots != roots[x]) & on_right & (~both | (place > x) if both[x] else True)
                 for y in np.flatnonzero(near):
                     if parts.top(roots[x]) != parts.top(roots[y]) and jaccard(sets[x], sets[y]) >= least:
                         parts.join(roots[x], roots[y])
@@ -230,9 +231,10 @@ def mixed_links(members: DataFrame, texts: DataFrame, least: float, size: int) -
     placed = members.select("band", "bucket", "key", "root").join(whole, ["band", "bucket"])
     number = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    rows = placed.withColumn("v", number("across")).withColumn("u", F.explode(every("down"))).withColumn("left", F.lit(False))
-    others = placed.where("root != largest").withColumn("u", number("down")).withColumn("v", F.explode(every("across"))).withColumn("left", F.lit(True))
-    columns = ["band", "bucket", "u", "v", "key", "root", "left"]
+    one = (F.col("down") == 1) & (F.col("across") == 1)
+    rows = placed.withColumn("v", number("across")).withColumn("u", F.explode(every("down"))).withColumn("left", one & (F.col("root") != F.col("largest"))).withColumn("right", F.lit(True))
+    others = placed.where((F.col("root") != F.col("largest")) & ~one).withColumn("u", number("down")).withColumn("v", F.explode(every("across"))).withColumn("left", F.lit(True)).withColumn("right", F.lit(False))
+    columns = ["band", "bucket", "u", "v", "key", "root", "left", "right"]
     placed = C.written(rows.select(*columns).unionByName(others.select(*columns)), "near-placed")
     cells = placed.join(some, "key").groupBy("band", "bucket", "u", "v")
     found = C.written(cells.applyInArrow(_cell(least, size), "a binary, b binary").distinct(), "near-links")
