@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     known = first.join(stored.select("digest").distinct(), "digest", "left_semi")
     # rows that need no encoding: of stored digests all, of the others all but the row of the smallest id
     again = keys.join(first.where("n > 1"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "digest")
-    skip = again.unionByName(keys.join(known.select("digest"), "digest", "left_semi").select("doc_id", "digest")).distinct()
+    skip = again.unionByName(keys.join(known.select("digest"), "digest", "left_semi").select("doc_id", "digest"))
     misses = C.without(keyed, skip.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_k"), F.lit(False).alias("_once")), "doc_id", F.col("digest"))
     misses.select("digest", "text").mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     # an id repeated with the same text, or null ids, can bring a digest twice
