@@ -46,9 +46,10 @@ PATTERN = (
     BLOCK
     + r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
     + rf"|(?<![{RUN}])(?:{ISSUED})"
-    + rf"|{LEAD}{VALUE}"
-    + rf"|(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{16,}}={{0,2}}"
-    + rf"|(?<![{RUN}])(?=[a-z+/_-]*+[A-Z])(?=[A-Z+/_-]*+[a-z])[A-Za-z+/_-]{{24,}}={{0,2}}"
+    # short looks ahead first, as most words are neither names nor long
+    + rf"|(?=[apcstAPCST]){LEAD}{VALUE}"
+    + rf"|(?<![{RUN}])(?=[{RUN}]{{16}})(?:(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{16,}}={{0,2}}"
+    + rf"|(?=[A-Za-z+/_-]{{24}})(?=[a-z+/_-]*+[A-Z])(?=[A-Z+/_-]*+[a-z])[A-Za-z+/_-]{{24,}}={{0,2}})"
 )
 #: Words of the dictionary, words that announce a secret, and words that announce something else (fixed values).
 DICTIONARY = "able about access account action active address after again all also and any application apply array article attribute author average back base because been before begin between block body book boolean both box branch buffer build business button bytes cache call can change channel character check child class clear client close code collection color column command comment common company component condition config connection console constant content context control convert copy could count create current custom data database date day debug default delete demo description detail device different directory display document does domain down dummy edit element email empty enable end entry error even event every example execute expected export factory false feature field file filter find first fixture float folder font for form format found frame from function general generate get global group handle handler have header height hello help here hidden home host house how image import include index info initial input insert instance integer interface internal into item job join json just key keyboard know label language large last layout left length level library license like limit line link list load local location lock log login long loop main make manager many map mark match max menu message method middle mode model module month more most move must my name network never new next node not note null number object off old one only open operation option order other output over package page panel parameter parent parse part password path pattern people person place placeholder plain platform point policy position post prefix print private process product profile program project property protocol provider public query queue random range rate read record reference region release remote remove render replace report request require reset resource response rest result return right role root row rule run sample save schema scope screen script search second section secret see select self send sequence server service session set setting setup should show simple single size small some sort source start state static status step store stream string style submit such support switch symbol system table tag target task template test text that the their them then there these they thing this time title to token tool top total track true type under union unique unit until update upload url use user util valid value variable version very view visible was way web week well were what when where which while width will window with word work world would wrap write year you your zone"
