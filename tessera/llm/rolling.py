@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer word is handled whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _M = np.uint64
 
 

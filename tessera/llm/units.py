@@ -79,7 +79,7 @@ class UnitEncoder:
         return self.pool[flat], bounds
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``most`` bytes of text, so that only one run is unpacked at a time."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0

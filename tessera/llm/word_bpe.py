@@ -14,6 +14,7 @@ import re
 import unicodedata
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from .token_counts import byte_alphabet
 from .units import UnitEncoder, text_blocks
@@ -96,9 +97,8 @@ def encoder_of(path: str) -> WordBpe:
 class WordBpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -125,6 +125,11 @@ class WordBpe:
         self.fast = tiktoken.Encoding("words", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks={p: i for i, p in enumerate(order)}, special_tokens={})
         self.units = UnitEncoder(cut, self._encode)
 
+    @functools.cached_property
+    def slow(self) -> Tokenizer:
+        """The library's tokenizer, loaded where a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, w in enumerate(words) if _MARK in w]
         plain = [w for w in words if _MARK not in w] if odd else words
