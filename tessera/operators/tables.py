@@ -63,6 +63,10 @@ class Sequence:
     def nextval(self) -> int:
         return self.take(1)
 
+    def __deepcopy__(self, memo: dict) -> Sequence:
+        # a rollback keeps the numbers that were given out, so a saved DEFAULT refers to the same counter
+        return self
+
     def currval(self) -> int:
         if self.current is None:
             raise ValueError("currval before nextval")
@@ -79,6 +83,7 @@ class Database:
         self.sequences: dict[str, Sequence] = {}
         self.vectors: dict[str, tuple[str, str, VectorIndex]] = {}
         self._saved: tuple[dict[str, DataFrame], dict[str, Meta], dict] | None = None
+        self._points: list[tuple[str, tuple[dict[str, DataFrame], dict[str, Meta], dict]]] = []
         self._changes: dict[str, int] = {}
 
     # --- definition ------------------------------------------------------------------------------------------
@@ -106,11 +111,18 @@ class Database:
             raise KeyError(f"unknown table: {name}")
         return self.tables[name]
 
-    def add_column(self, name: str, column: str, kind: str, default: object = None) -> None:
+    def add_column(self, name: str, column: str, kind: str, default: object = None, required: bool = False, dim: int | None = None) -> None:
         m = self.meta[name]
+        if column in m.schema.names:
+            raise ValueError(f"column exists: {column}")
         values = self._numbered(self.table(name), {column: default}) if isinstance(default, Sequence) else self.table(name).withColumn(column, F.lit(default))
-        self._put(name, values.withColumn(column, F.col(column).cast(kind)))
-        m.schema = T.StructType([*m.schema.fields, T.StructField(column, T._parse_datatype_string(kind))])
+        values = values.withColumn(column, F.col(column).cast(kind))
+        if required:
+            self._none(values.where(F.col(column).isNull()), f"null value in column {column}")
+        self._put(name, values)
+        m.schema = T.StructType([*m.schema.fields, T.StructField(column, T._parse_datatype_string(kind), not required)])
+        if dim:
+            m.dims[column] = dim
         if default is not None:
             m.defaults[column] = default
 
@@ -194,15 +206,39 @@ class Database:
     def begin(self) -> None:
         if self._saved:
             raise ValueError("a transaction is already open")
-        self._saved = dict(self.tables), copy.deepcopy(self.meta), dict(self.vectors)
+        self._saved, self._points = self._state(), []
+
+    def _state(self) -> tuple[dict[str, DataFrame], dict[str, Meta], dict]:
+        return dict(self.tables), copy.deepcopy(self.meta), dict(self.vectors)
 
     def commit(self) -> None:
-        self._saved = None
+        self._saved, self._points = None, []
 
     def rollback(self) -> None:
         if not self._saved:
             raise ValueError("no transaction is open")
-        (self.tables, self.meta, self.vectors), self._saved = self._saved, None
+        (self.tables, self.meta, self.vectors), self._saved, self._points = self._saved, None, []
+
+    def savepoint(self, name: str) -> None:
+        if not self._saved:
+            raise ValueError("no transaction is open")
+        self._points.append((name, self._state()))
+
+    def _point(self, name: str) -> int:
+        found = [i for i, (n, _) in enumerate(self._points) if n == name]
+        if not found:
+            raise KeyError(f"unknown savepoint: {name}")
+        return found[-1]
+
+    def rollback_to(self, name: str) -> None:
+        """Back to a savepoint, which stays; later ones are gone."""
+        at = self._point(name)
+        self.tables, self.meta, self.vectors = self._points[at][1]
+        self._points[at:] = [(name, self._state())]
+
+    def release(self, name: str) -> None:
+        """Forgets a savepoint and later ones; the changes stay."""
+        del self._points[self._point(name) :]
 
     def cut(self, df: DataFrame) -> DataFrame:
         """df with its lineage cut, so that its rows stay as they are."""

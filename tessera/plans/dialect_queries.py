@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import DataFrame
 
+from tessera.builder import Statement
 from tessera.operators.tables import ConstraintError
 from tessera.plans.catalogue import query
 from tessera.plans.vector_queries import PROBE, SQL_PROBE
@@ -227,3 +228,35 @@ def merge_join_sort_aggregate(t: Tables) -> DataFrame:
 def sql_parameters(t: Tables) -> DataFrame:
     s = _session(t, "customer")
     return s.execute("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey BETWEEN $2 / 2 AND $1 AND c_nationkey <> $3 UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey = $4", [60, 40, 3, 7])
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey + 1 AS nation, c_acctbal AS balance FROM customer WHERE c_acctbal >= 0")
+def sql_savepoint(t: Tables) -> DataFrame:
+    return _loaded(t).execute("""
+        BEGIN; DELETE FROM c WHERE balance < 0; SAVEPOINT poor; UPDATE c SET balance = 0; ALTER TABLE c DROP COLUMN name; ROLLBACK TO SAVEPOINT poor;
+        UPDATE c SET nation = nation + 1; COMMIT; SELECT * FROM c""")
+
+
+@query("""
+    SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey), ',') AS dearest, array_to_string(list(DISTINCT o_orderstatus ORDER BY o_orderstatus), ',') AS states
+    FROM orders GROUP BY o_custkey""")
+def sql_array_agg_order(t: Tables) -> DataFrame:
+    return _session(t, "orders").execute("""
+        SELECT o_custkey, array_join(array_agg(CAST(o_orderkey AS TEXT) ORDER BY o_totalprice DESC, o_orderkey), ',') AS dearest, array_join(array_agg(DISTINCT o_orderstatus ORDER BY o_orderstatus), ',') AS states
+        FROM orders GROUP BY o_custkey""")
+
+
+@query("SELECT n_name, count(c_custkey) AS n, min(c_name) AS first_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 10.5 WHERE n_name <> 'CHINA' GROUP BY n_name HAVING count(c_custkey) >= 2")
+def built_select(t: Tables) -> DataFrame:
+    """A statement built from clauses, with bound values."""
+    counted = Statement.select("n_name", "count(c_custkey) AS n", "min(c_name) AS first_name").of("nation").group("n_name").having("count(c_custkey) >= ?", 2)
+    return counted.join("customer", "c_nationkey = n_nationkey AND c_acctbal > ?", 10.5, how="left").where("n_name <> ?", "CHINA").run(_session(t, "nation", "customer"))
+
+
+@query("SELECT c_custkey AS id, 'it''s ?; --' AS name, c_nationkey AS nation, c_acctbal * 2 AS balance FROM customer WHERE c_acctbal >= 100 UNION ALL SELECT -1, 'added', NULL, NULL")
+def built_changes(t: Tables) -> DataFrame:
+    s = _loaded(t)
+    Statement.delete("c").where("balance < ?", 100).run(s)
+    Statement.update("c").set("name", "it's ?; --").set_to("balance", "balance * ?", 2).run(s)
+    Statement.insert("c", "id", "name").values(-1, "added").run(s)
+    return Statement.select().of("c").run(s)

@@ -167,3 +167,59 @@ def test_merge_hint_reaches_the_plan(spark, sf):
 
     plan = catalogue.queries()["merge_join_sort_aggregate"](spark, sf)._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "SortAggregate" in plan
+
+
+def test_savepoints(s):
+    s.execute("CREATE SEQUENCE sq; CREATE TABLE t (id INT PRIMARY KEY DEFAULT nextval('sq'), v INT); INSERT INTO t (v) VALUES (10)")
+    s.execute("BEGIN; INSERT INTO t (v) VALUES (20); SAVEPOINT a; INSERT INTO t (v) VALUES (30); ALTER TABLE t ADD COLUMN w INT; SAVEPOINT b; DELETE FROM t; ROLLBACK TO SAVEPOINT a")
+    assert sorted(got(s.execute("SELECT v FROM t"))) == [(10,), (20,)] and s.db.meta["t"].schema.names == ["id", "v"]
+    with pytest.raises(KeyError):
+        s.execute("ROLLBACK TO b")
+    s.execute("UPDATE t SET v = 0; ROLLBACK TO a; RELEASE SAVEPOINT a")
+    with pytest.raises(KeyError):
+        s.execute("ROLLBACK TO a")
+    s.execute("COMMIT")
+    assert sorted(got(s.execute("SELECT v FROM t"))) == [(10,), (20,)]
+    with pytest.raises(ValueError):
+        s.execute("SAVEPOINT c")
+
+
+def test_numbers_given_out_are_not_given_again_after_a_rollback(s):
+    s.execute("CREATE SEQUENCE sq; CREATE TABLE t (id INT PRIMARY KEY DEFAULT nextval('sq'), v INT); INSERT INTO t (v) VALUES (1)")
+    s.execute("BEGIN; INSERT INTO t (v) VALUES (2), (3); ROLLBACK; INSERT INTO t (v) VALUES (4)")
+    assert sorted(got(s.execute("SELECT * FROM t"))) == [(1, 1), (4, 4)] and got(s.execute("SELECT nextval('sq')")) == [(5,)]
+
+
+def test_added_columns_keep_their_rules(s):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t VALUES (1); ALTER TABLE t ADD COLUMN n INT NOT NULL DEFAULT 5; ALTER TABLE t ADD COLUMN v VECTOR(2)")
+    assert got(s.execute("SELECT * FROM t")) == [(1, 5, None)]
+    for bad in ("INSERT INTO t VALUES (2, NULL, NULL)", "INSERT INTO t (id, v) VALUES (2, '[1,2,3]')", "ALTER TABLE t ADD COLUMN m INT NOT NULL"):
+        with pytest.raises(ConstraintError):
+            s.execute(bad)
+    with pytest.raises(ValueError):
+        s.execute("ALTER TABLE t ADD COLUMN n INT")
+
+
+def test_array_agg_in_order(s):
+    s.execute("CREATE TABLE n (id INT PRIMARY KEY, g INT, v INT); INSERT INTO n VALUES (1, 1, NULL), (2, 1, 20), (3, 1, 10), (4, 1, 10), (5, 2, NULL)")
+    row = "SELECT g, array_agg(id ORDER BY v DESC, id DESC) AS a, array_agg(id ORDER BY v, id) AS b, array_agg(id ORDER BY v NULLS FIRST, id) AS c, array_agg(DISTINCT v ORDER BY v DESC) AS d, array_agg(v * 7 / 2 ORDER BY v) AS e FROM n GROUP BY g ORDER BY g"
+    assert got(s.execute(row)) == [(1, [1, 2, 4, 3], [3, 4, 2, 1], [1, 3, 4, 2], [20, 10], [35, 35, 70]), (2, [5], [5], [5], [], [])]
+
+
+def test_statements_from_clauses(s):
+    from tessera.builder import Statement as S
+
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, name TEXT, x DOUBLE, v VECTOR(2)); CREATE TABLE u (tid INT, k INT); INSERT INTO u VALUES (1, 7), (1, 8), (3, 9)")
+    S.insert("t", "id", "name", "x", "v").values(1, "O'Neil; -- \\ ?", 0.5, [1.0, 2.0]).values(2, None, -1.5, None).values(3, "$1", 2.0, None).run(s)
+    assert got(S.select("id", "name", "x", "v").of("t").order("id").run(s)) == [(1, "O'Neil; -- \\ ?", 0.5, [1.0, 2.0]), (2, None, -1.5, None), (3, "$1", 2.0, None)]
+    base = S.select("id", "count(k) AS n").of("t").group("id").order("id")
+    assert got(base.join("u", "id = tid", how="left").run(s)) == [(1, 2), (2, 0), (3, 1)]
+    assert got(base.having("count(k) >= ?", 2).join("u", "id = tid AND k > ?", 6).where("x > ?", 0).run(s)) == [(1, 2)]
+    assert got(base.join("u", "id = tid", how="right").limit(1).offset(1).run(s)) == [(3, 1)]
+    assert got(S.select().of("u").equal("k", 9).run(s)) == [(3, 9)] and got(S.select("id").of("t").equal("name", None).run(s)) == [(2,)]
+    assert got(S.select("id").of("t").where("name LIKE '%?'").where("x < ?", 1).run(s)) == [(1,)]
+    S.update("t").set("name", "a = 'b', c").set_to("x", "x * ?", 2).where("id >= ?", 2).run(s)
+    assert got(S.select("name", "x").of("t").where("id <> ?", 1).order("id DESC").run(s)) == [("a = 'b', c", 4.0), ("a = 'b', c", -3.0)]
+    assert got(S.delete("t").equal("id", 3).returning("id", "x").run(s)) == [(3, 4.0)]
+    with pytest.raises(ValueError):
+        S.select().of("t").where("id = ?")
