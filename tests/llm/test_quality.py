@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import quality as Q
@@ -56,3 +57,34 @@ def test_edges(spark, make_docs):
     kept = Q.score(docs, model, keep=True)
     assert kept.columns == docs.columns
     assert Q.score(make_docs([]), model).count() == 0 and Q.train(make_docs([]), one) is None
+
+
+def labelled(spark, docs, labels):
+    """Features and labels of every row that may be learned from, by plain Python."""
+    mark = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    rows = [r for r in docs.collect() if r.doc_id in mark and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    return Q.features(pa.array([r.text or "" for r in rows])), np.array([mark[r.doc_id] for r in rows])
+
+
+def test_learns_from_every_labelled_row(spark, make_docs):
+    """More rows of each label than 3,000, which were read at most before."""
+    docs = make_docs([(i, f"word{i % 7} and {'more !! ' * (i % 5)}") for i in range(11_000)])
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    x, y = labelled(spark, docs, labels)
+    model = Q.train(docs, labels)
+    assert min(np.bincount(y)) > 3000 and np.abs(model.centre - x.mean(axis=0)).max() < 1e-8
+
+
+def test_weights_and_threshold_are_of_all_pairs_and_rows(spark, sf):
+    """The gradient of the loss over all pairs vanishes at the weights; no threshold has a smaller sum of error rates."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    x, y = labelled(spark, docs, labels)
+    model = Q.train(docs, labels)
+    z = Q.standard(x, model.centre, model.scale)
+    s = z @ model.weights
+    good, bad = y == 1, y == 0
+    p = 1 / (1 + np.exp(s[good][:, None] - s[bad][None, :]))
+    grad = (p.sum(axis=0) @ z[bad] - p.sum(axis=1) @ z[good]) / p.size + 1e-3 * model.weights
+    assert np.abs(grad).max() < 4e-6
+    wrong = [(s[good] < t).mean() + (s[bad] >= t).mean() for t in [*np.unique(s), np.inf]]
+    assert (s[good] < model.threshold).mean() + (s[bad] >= model.threshold).mean() <= min(wrong) + 1 / min(good.sum(), bad.sum())
