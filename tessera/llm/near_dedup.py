@@ -26,6 +26,7 @@ gives an empty result. Further columns are ignored by the groups and kept by ``k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,8 +194,9 @@ def _cell(least: float, size: int):
         # a block of members outside the largest group (left) and a block of all members (right); of a bucket that is
         # one cell, every row is right and some are left too
         t = t.sort_by("key")
-        keys, left, on_right = t.column("key").to_pylist(), t.column("left").to_numpy(), t.column("right").to_numpy()
-        roots = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        left, on_right = t.column("left").to_numpy(), t.column("right").to_numpy()
+        groups = t.column("root").combine_chunks().dictionary_encode()
+        roots, names = groups.indices.to_numpy(), groups.dictionary.to_pylist()
         sets = [_weights(x.as_py() or b"", size) for x in t.column("text").cast(pa.large_binary())]
         share = [w / max(w.sum(), 1) for _, w in sets]
         right, both, place = np.flatnonzero(on_right), left & on_right, np.arange(len(left))
@@ -214,7 +216,7 @@ def _cell(least: float, size: int):
                 for y in np.flatnonzero(near):
                     if parts.top(roots[x]) != parts.top(roots[y]) and jaccard(sets[x], sets[y]) >= least:
                         parts.join(roots[x], roots[y])
-                        out.append((keys[x], keys[y]))
+                        out.append((names[roots[x]], names[roots[y]]))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
@@ -222,7 +224,7 @@ def _cell(least: float, size: int):
 
 
 def mixed_links(members: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
-    """Links between different groups (root) within the buckets of members (band, bucket, key, root, n: shingles)."""
+    """Pairs (a, b) of groups (root) that a link joins within the buckets of members (band, bucket, key, root, n: shingles)."""
     groups = C.written(members.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")), "near-mixed-groups")
     whole = groups.groupBy("band", "bucket").agg(F.max_by(F.struct("root", "c", "n"), F.struct("c", "root")).alias("l"), F.sum("c").alias("c"), F.sum("n").alias("n"))
     blocks = lambda c, n: F.greatest(F.ceil(c / CELL), F.ceil(n / CELL_SHINGLES)).cast("int")
@@ -242,18 +244,33 @@ def mixed_links(members: DataFrame, texts: DataFrame, least: float, size: int) -
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """key, root: the smallest key of each connected part, by neighbours' minima and pointer jumping."""
-    both = C.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = C.written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("root")), "labels")
+def ends(chains: DataFrame) -> DataFrame:
+    """key, root of keys that each point to a smaller one (key, root): the end of each key's chain, by pointer jumping."""
     while True:
-        seen = both.join(labels.withColumnsRenamed({"key": "b", "root": "other"}), "b").groupBy(F.col("a").alias("key")).agg(F.min("other").alias("other"))
-        low = labels.join(seen, "key").select("key", "root", F.least("root", "other").alias("next"))
-        far = labels.withColumnsRenamed({"key": "next", "root": "jump"})
-        step = C.written(low.join(far, "next").select("key", "root", F.least("next", "jump").alias("next")), "labels")
-        labels = step.select("key", F.col("next").alias("root"))
-        if not step.where("root != next").limit(1).count():
-            return labels
+        far = chains.select(F.col("key").alias("root"), F.col("root").alias("jump"))
+        step = C.written(chains.join(far, "root", "left").select("key", F.coalesce("jump", "root").alias("root"), F.col("jump").isNotNull().alias("moved")), "chains")
+        chains = step.select("key", "root")
+        if not step.where("moved").limit(1).count():
+            return chains
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """key, root: the smallest key of each connected part, for all its other keys.
+
+    In a round each key takes its smallest neighbour, if that is smaller, and chains of keys are followed to their ends.
+    Edges are then drawn between the ends: most fall within one part and are gone, so that later rounds read few."""
+    between = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    left, steps = C.written(edges.where("a != b").select(*between("a", "b")).distinct(), "edges"), []
+    while left.limit(1).count():
+        # written, so that a hot end's joins can be split
+        step = ends(C.written(left.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("root")), "smallest"))
+        steps.append(step)
+        low = left.join(step.withColumnsRenamed({"key": "b", "root": "end_b"}), "b")
+        both = low.join(step.withColumnsRenamed({"key": "a", "root": "end_a"}), "a", "left").withColumn("end_a", F.coalesce("end_a", "a"))
+        left = C.written(both.where("end_a != end_b").select(*between("end_a", "end_b")).distinct(), "edges")
+    if not steps:
+        return left.select(F.col("b").alias("key"), F.col("a").alias("root"))
+    return steps[0] if len(steps) == 1 else ends(reduce(DataFrame.unionByName, steps))
 
 
 def roots(docs: DataFrame, least: float, size: int, bands: int, band: int, id_col: str, text_col: str) -> DataFrame:
@@ -265,7 +282,8 @@ def roots(docs: DataFrame, least: float, size: int, bands: int, band: int, id_co
     full = signed.where("n > 0")
     # documents with equal weighted shingles are one class; its smallest key stands for it
     same = C.written(full.groupBy("s1", "s2").agg(F.min(F.struct("key", "n", "buckets")).alias("one"), F.count(F.lit(1)).alias("c")), "same")
-    members = full.join(same.where("c > 1").select("s1", "s2", F.col("one.key").alias("rep")), ["s1", "s2"]).select("key", "rep")
+    members = full.join(same.where("c > 1").select("s1", "s2", F.col("one.key").alias("root")), ["s1", "s2"]).where("key != root").select("key", "root")
+    members = C.written(members.distinct(), "near-members")
     placed = same.select(F.col("one.key").alias("key"), F.col("one.n").alias("n"), F.posexplode("one.buckets").alias("band", "bucket"))
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key")).alias("hub")).where("c > 1")
     shared = C.written(shared, "near-shared")  # written, as the next ones, so that a hot bucket's join can be split
@@ -278,8 +296,8 @@ def roots(docs: DataFrame, least: float, size: int, bands: int, band: int, id_co
     mixed = C.written(now.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "bucket"), "near-mixed-buckets")
     now = C.written(now.join(mixed, ["band", "bucket"]), "mixed")
     later = mixed_links(now, texts, least, size)
-    edges = found.unionByName(later).unionByName(members.where("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b")))
-    group = components(edges)
+    # a class's other keys point to its smallest, that to its group's, that to the smallest of the groups joined later
+    group = ends(reduce(DataFrame.unionByName, [members, group, components(later)]))
     # a row without words is its own group, also where rows repeat
     out = C.written(rows.select("doc_id", "key").join(group, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "roots")
     C.removed(signed, same, inside, now)

@@ -130,3 +130,47 @@ def test_recall_of_all_true_pairs(spark):
     pairs = true_pairs({r.doc_id: r.text for r in docs.collect()})
     group = {r.doc_id: r.class_id for r in N.near_groups(docs).collect()}
     assert len(pairs) > 50 and sum(group[a] == group[b] for a, b in pairs) / len(pairs) >= 0.99
+
+
+def joined(spark, run):
+    """Rows that the joins of ``run`` make."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    executions = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    bus.waitUntilEmpty()
+    seen = set(executions())
+    run()
+    bus.waitUntilEmpty()
+    total = 0
+    for e in set(executions()) - seen:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []
+            ids = [m.accumulatorId() for m in metrics if m.name() == "number of output rows"]
+            total += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return total
+
+
+def test_components_read_few_edges_again(spark):
+    """Of dense groups, a later round reads only the edges between what the earlier ones joined."""
+    rng = random.Random(8)
+    names = [rng.randbytes(16) for _ in range(700)]
+    dense = [(g + rng.randrange(100), g + rng.randrange(100)) for g in (0, 100, 200) for _ in range(2500)]
+    path = [(i, i + 1) for i in range(300, 499)] + [(500, i) for i in range(501, 600)] + [(600, 600), (601, 602), (602, 601)]
+    want = {x: x for x in names}
+
+    def top(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for a, b in [*dense, *path]:
+        a, b = top(names[a]), top(names[b])
+        want[max(a, b)] = min(a, b)
+    for some in (dense, dense + path, []):
+        edges = spark.createDataFrame([(bytearray(names[a]), bytearray(names[b])) for a, b in some], "a binary, b binary")
+        got = {}
+        rows = joined(spark, lambda: got.update({bytes(r.key): bytes(r.root) for r in N.components(edges).collect()}))
+        linked = {names[x] for pair in some for x in pair}
+        assert {x: got.get(x, x) for x in linked} == {x: top(x) for x in linked}
+        n = len({(min(p), max(p)) for p in some if p[0] != p[1]})
+        assert some is not dense or rows <= 3 * n
