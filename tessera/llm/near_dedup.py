@@ -12,8 +12,8 @@ every bucket, each class meets the bucket's hub (the member whose hash with the
 the texts, and pairs of at least ``least`` are links. Connected classes are one group. In a bucket that then still
 holds several groups, the members outside its largest group meet all its members in cells whose number of members and
 shingles is bounded (a larger text has a block by itself): an inverted index of the cell's shingles bounds J of every
-two members of different groups, J is computed where the bound allows a link, and one link for each member and group
-leaves the cell. So no link between candidates is lost, no pair is tried within a group, members of the largest group
+two members of different groups, J is computed where the bound allows a link, and such links
+leave the cell as pairs of groups. So no link between candidates is lost, no pair is tried within a group, members of the largest group
 do not meet each other, and no list of pairs is made. No bucket is capped; a larger one has more cells.
 
 Defined results. Words are [^\\x20\\x09-\\x0D]+; a text of one to four words is one shingle; a text without words (null,
