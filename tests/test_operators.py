@@ -103,6 +103,21 @@ def test_index_searches_in_blocks_and_keeps_ties(spark, metric):
     assert "_v" not in [c for j in joins(found) for c in j]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip", "manhattan"])
+def test_knn_join_in_blocks_equals_all_pairs(spark, metric):
+    """Equal to the last bit, ties by id, over batches of queries too; no join makes all pairs."""
+    rng = np.random.default_rng(4)
+    few = rng.standard_normal((10, 5)).astype(np.float32)
+    vectors = [few[i % 10].tolist() if i % 3 else (rng.standard_normal(5) * 10.0 ** rng.integers(-3, 9)).tolist() for i in range(300)]
+    df = spark.createDataFrame([*enumerate(vectors), (300, [0.0] * 5), (301, None), (350, [1.0, None, 0.0, 0.0, 0.0])], "vec_id long, embedding array<float>").repartition(3)
+    asked = df.where("vec_id % 25 = 0")
+    found = knn_join(asked, df, 7, metric, blocks=4)
+    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).crossJoin(df).withColumn("distance", V.vector_distance(F.col("embedding"), F.col("q"), metric)).where("distance is not null")
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where("rank <= 7").select("query_id", "vec_id", "distance", "rank")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "_v" not in [c for j in joins(found) for c in j]
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     src = spark.read.parquet(f"{sf}/events.parquet")
     stream = events.tumbling(events.read(spark, f"{sf}/events.parquet*", src.schema))
